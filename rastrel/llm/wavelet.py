@@ -13,12 +13,15 @@ their number and the offsets of its blocks after the header.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,14 +64,14 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
         "planes": [], "ranks": [],
     }
     for level in range(levels):
-        bit = (codes >> (levels - 1 - level)) & 1 == 1
+        bit = (codes & codes.dtype.type(1 << (levels - 1 - level))) != 0
         plane = np.packbits(bit, bitorder="little")
-        ones = np.add.reduceat(bit, np.arange(0, n, STEP_BITS), dtype=np.int64) if n else np.zeros(0, np.int64)
+        ones = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), STEP_BITS // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
         before = np.concatenate([[0], np.cumsum(ones)])
         head["planes"].append(section("bits", plane.tobytes(), n, BLOCK_BITS // 8))
         head["ranks"].append(section("<u4", before.astype("<u4").tobytes(), len(before), 1 << 20))
         head["zeros"].append(int(n - before[-1]))
-        codes = np.concatenate([codes[~bit], codes[bit]])
+        codes = np.concatenate([codes.take(np.flatnonzero(~bit)), codes.take(np.flatnonzero(bit))])  # faster than masks
     header = json.dumps(head).encode()
     return b"".join([MAGIC, len(header).to_bytes(8, "little"), header, *blocks])
 
@@ -120,8 +123,8 @@ class WaveletFile:
         for level in reversed(range(self.levels)):
             bit = np.unpackbits(self._all(self.head["planes"][level]), count=self.tokens, bitorder="little").view(bool)
             place, zeros = np.empty_like(codes), self.zeros[level]
-            place[~bit] = codes[:zeros]
-            place[bit] = codes[zeros:] | codes.dtype.type(1 << (self.levels - 1 - level))
+            place[np.flatnonzero(~bit)] = codes[:zeros]
+            place[np.flatnonzero(bit)] = codes[zeros:] | codes.dtype.type(1 << (self.levels - 1 - level))
             codes = place
         return self.alphabet[codes] if len(self.alphabet) else codes.astype(np.uint32)
 
@@ -194,58 +197,123 @@ class WaveletFile:
 
 # ---------------------------------------------------------------- tokens
 
-#: Words whose ids a worker keeps at once.
-CACHED_WORDS = 1 << 19
+#: Words whose ids a worker keeps at once, and words of one call to the tokenizer.
+CACHED_WORDS, CALL_WORDS = 600_000, 500
+_ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+_PUNCT[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True  # all of ASCII but the apostrophe
+
+
+#: Stands for the end of a text; no UTF-8 text holds this byte.
+_END = b"\xff"
+
+
+def _words(texts: list[bytes]) -> list[bytes]:
+    """The words of all texts, ``_END`` after each, cut further where any word tokenizer that lower-cases would cut.
+
+    A block that may name a special token is cut at white space alone.
+    """
+    text = b" \xff ".join([*texts, b""])
+    if b"<|" in text:
+        return text.split()
+    text = text.lower()
+    raw = np.frombuffer(text, np.uint8)
+    alnum, punct = _ALNUM[raw], _PUNCT[raw]
+    edge = (alnum[:-1] & punct[1:]) | (punct[:-1] & alnum[1:])
+    cut = np.flatnonzero(edge) + 1
+    if len(cut):
+        old = np.ones(len(raw) + len(cut), bool)
+        old[cut + np.arange(len(cut))] = False
+        out = np.full(len(old), 0x20, np.uint8)
+        out[old] = raw
+        text = out.tobytes()
+    return text.split()
 
 
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library.
 
-    With ``by_words`` the tokenizer must never join what ASCII white space parts;
-    then each distinct word is encoded once and looked up after that.
+    ``by_words`` is for tokenizers that lower-case, drop white space and mark the
+    end of a word: then words are encoded once and looked up after that.
     """
 
     def __init__(self, model: str, end_id: int | None, by_words: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.by_words = Tokenizer.from_str(model), end_id, by_words
         self.tokenizer.no_truncation()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
         """Word 0 is the end of a text."""
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = {_END: 0}
         self.flat = np.array([] if self.end is None else [self.end], np.int32)
-        self.sizes = np.array([len(self.flat)], np.int64)
+        self.sizes = np.array([len(self.flat)], np.int32)
+
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.number.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
-        parts = [e.ids for e in got]
-        self.flat = np.concatenate([self.flat, np.fromiter((i for p in parts for i in p), np.int32)])
-        self.sizes = np.concatenate([self.sizes, np.array([len(p) for p in parts], np.int64)])
+        """Words of letters go to the tokenizer side by side: each ends with its first closing token."""
+        plain = [w for w in words if w.isalpha()]  # of ASCII letters
+        other = []
+        for w in words:
+            if not w.isalpha():
+                (plain if (s := w.decode()).isalpha() and s.lower().isalpha() else other).append(w)
+        order, flats, sizes = [], [], []
+        for i in range(0, len(plain), CALL_WORDS):
+            group = plain[i : i + CALL_WORDS]
+            ids = np.array(self._raw([b" ".join(group).decode()])[0], np.int32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                order += group
+                flats.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                other += group
+        got = self._raw([w.decode() for w in other])
+        flats.append(np.fromiter((i for ids in got for i in ids), np.int32))
+        sizes.append(np.array([len(ids) for ids in got], np.int64))
+        first = len(self.sizes)
+        self.number.update(zip(order + other, range(first, first + len(words))))
+        self.flat = np.concatenate([self.flat, *flats])
+        self.sizes = np.concatenate([self.sizes, *sizes]).astype(np.int32)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by the end id, and their numbers by text."""
         if not self.by_words:
             tail = [] if self.end is None else [self.end]
-            got = [e.ids + tail for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            got = [ids + tail for ids in self._raw([t.decode() for t in texts])]
             return np.array([i for g in got for i in g], np.int32), np.array([len(g) for g in got], np.int64)
         if len(self.number) > CACHED_WORDS:
             self._reset()
-        words = [t.split() for t in texts]
-        fresh = set().union(*words).difference(self.number)
-        if fresh:
-            self._learn(sorted(fresh))
-        codes: list[int] = []
-        for ws in words:
-            codes.extend(map(self.number.__getitem__, ws))
-            codes.append(0)
-        code = np.array(codes, np.int64)
-        size, first = self.sizes[code], (np.cumsum(self.sizes) - self.sizes)[code]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.cumsum([len(ws) + 1 for ws in words]) - 1], prepend=0)
+        words = _words(texts)
+        code = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
+        missing = np.flatnonzero(code < 0)
+        if len(missing):
+            lost = [words[i] for i in missing]
+            self._learn(list(dict.fromkeys(lost)))
+            code[missing] = [self.number[w] for w in lost]
+        size = self.sizes[code]
+        last = np.cumsum(size, dtype=np.int32 if len(code) < 1 << 24 else np.int64)
+        ids = self.flat[np.repeat((np.cumsum(self.sizes, dtype=last.dtype) - self.sizes)[code] - (last - size), size) + np.arange(last[-1] if len(last) else 0, dtype=last.dtype)]
+        return ids, np.diff(last[np.flatnonzero(code == 0)].astype(np.int64), prepend=0)
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(model: str, end_id: int | None, by_words: bool) -> Encoder:
+    """One encoder for each worker process; its words serve the next task too."""
+    key = (xxhash.xxh3_128_digest(model), end_id, by_words)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(model, end_id, by_words)
+    return _ENCODERS[key]
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -274,7 +342,7 @@ def _shards(model, end_id: int | None, by_words: bool, root: str, most: int):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part, seq, encoder = task.partitionId() if task else 0, 0, Encoder(model.value, end_id, by_words)
+        part, seq, coder = task.partitionId() if task else 0, 0, encoder(model.value, end_id, by_words)
         ids, docs, lengths, held = [], [], [], 0
 
         def close():
@@ -289,7 +357,7 @@ def _shards(model, end_id: int | None, by_words: bool, root: str, most: int):
             first = 0
             while first < len(texts):  # a block of texts at a time
                 last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 21, "right")))
-                got, length = encoder.encode(texts.slice(first, last - first).to_pylist())
+                got, length = coder.encode(texts.slice(first, last - first).to_pylist())
                 cut, begin = np.concatenate([[0], np.cumsum(length)]), 0
                 while begin < len(length):
                     end = begin + max(1, int(np.searchsorted(cut[begin + 1 :] - cut[begin], most - held, "right")))
