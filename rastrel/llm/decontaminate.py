@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import fresh
+
 #: Words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
@@ -41,16 +43,19 @@ def _hits(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col:
     told = wins.agg(F.collect_set("len").alias("lens"), F.sum(F.length(F.array_join("win", " ")) + 24 * F.size("win") + F.length(F.array_join("items", " ")) + 24 * F.size("items") + 64).alias("bytes")).first()
     lens = sorted(told["lens"]) or [n]
     table = wins.select(F.xxhash64("win").alias("h"), "win", "items")
-    if (told["bytes"] or 0) <= broadcast_bytes:
-        table = F.broadcast(table)
     none = F.array().cast("array<int>")
     starts = [F.when(F.size("w") >= k, F.sequence(F.lit(k), (F.size("w") - k) * STEP + k, F.lit(STEP))).otherwise(none) for k in lens]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(words(F.col(text_col)), F.array().cast("array<string>")).alias("w"))
     rows = rows.select("doc_id", "row", "w", F.explode(F.concat(F.array(F.lit(-1)), *starts)).alias("code"))
     window = F.slice("w", F.expr(f"code div {STEP}").cast("int") + 1, F.greatest(F.col("code") % STEP, F.lit(0)))
-    probe = rows.withColumn("key", F.when(F.col("code") >= 0, F.xxhash64(window)))
-    met = probe.join(table, (F.col("key") == F.col("h")) & (window == F.col("win")), "left").where("code < 0 or h is not null")
-    return met.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), F.when(F.col("code") >= 0, F.expr(f"cast(code div {STEP} as long)")).alias("at"), F.when(F.col("code") >= 0, F.col("code") % STEP).alias("len"), "items")
+    # From here on a row holds its window alone, never the whole text.
+    probe = rows.select("doc_id", "row", F.size("w").cast("long").alias("n_words"), "code", F.when(F.col("code") >= 0, window).alias("own")).withColumn("key", F.when(F.col("code") >= 0, F.xxhash64("own")))
+    same = (F.col("key") == F.col("h")) & (F.col("own") == F.col("win"))
+    if (told["bytes"] or 0) <= broadcast_bytes:
+        met = probe.join(F.broadcast(table), same, "left").where("code < 0 or h is not null")
+    else:  # rows without a window would all share one null key
+        met = probe.where("code >= 0").join(table, same).unionByName(probe.where("code < 0"), allowMissingColumns=True)
+    return met.select("doc_id", "row", "n_words", F.when(F.col("code") >= 0, F.expr(f"cast(code div {STEP} as long)")).alias("at"), F.when(F.col("code") >= 0, F.col("code") % STEP).alias("len"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -84,8 +89,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col
 
     A row whose id is null is kept only if no row with a null id is hit.
     """
-    bad = contamination(docs, benchmark, n, id_col, **more).where("n_hit > 0").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_hit_id")), "left_anti")
+    (hit,) = fresh(docs, "hit_id")
+    bad = contamination(docs, benchmark, n, id_col, **more).where("n_hit > 0").select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(hit)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -93,9 +99,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str
 
     Ids must be unique.  Clean texts are returned unchanged, null ones as null.
     """
-    found = contamination(docs, benchmark, n, id_col, text_col, **more).where("n_hit > 0").select(F.col("doc_id").alias("_hit_id"), F.col("spans").alias("_spans"))
-    joined = docs.join(found, F.col(id_col).cast("long") == F.col("_hit_id"), "left")
+    hit, cut_at = fresh(docs, "hit_id", "spans")
+    found = contamination(docs, benchmark, n, id_col, text_col, **more).where("n_hit > 0").select(F.col("doc_id").alias(hit), F.col("spans").alias(cut_at))
+    joined = docs.join(found, F.col(id_col).cast("long") == F.col(hit), "left")
     got, gaps = F.regexp_extract_all(F.col(text_col), F.lit(WORD_ANY_CASE), F.lit(0)), F.split(F.col(text_col), WORD_ANY_CASE, -1)
-    kept = F.transform(got, lambda w, i: F.when(F.exists("_spans", lambda s: (i >= s["first"]) & (i < s["last"])), "").otherwise(w))
+    kept = F.transform(got, lambda w, i: F.when(F.exists(cut_at, lambda s: (i >= s["first"]) & (i < s["last"])), "").otherwise(w))
     cut = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), kept, lambda g, w: F.concat(g, w)), ""), F.element_at(gaps, -1))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(cut_at).isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)

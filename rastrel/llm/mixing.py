@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 #: Exponents tried at once, and rounds; each narrows the range by the number of exponents less one.
 TRIES, ROUNDS = 33, 5
@@ -119,6 +119,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 def realise(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture reads it, with all their columns; ids must be unique."""
-    copies = mix_sources(docs, id_col, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_n"))
-    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(*docs.columns)
+    key, n, k = fresh(docs, "mix_id", "mix_copies", "mix_copy")
+    copies = mix_sources(docs, id_col, **how).where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(n))
+    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col(key)))
+    return joined.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)

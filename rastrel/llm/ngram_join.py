@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 U64 = np.uint64
 #: Tokens and documents of one chunk; a document's number in its chunk has 16 bits.
@@ -486,5 +486,6 @@ def _rest(sigs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int)
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` whose id names their component, and those without an id; all columns stay."""
-    named = ngram_jaccard_components(docs, id_col, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(named, F.col(id_col).cast("long") == F.col("_id"), "left_semi"))
+    (kept,) = fresh(docs, "kept_id")
+    named = ngram_jaccard_components(docs, id_col, **how).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(named, F.col(id_col).cast("long") == F.col(kept), "left_semi"))
