@@ -44,7 +44,7 @@ from .scratch import Scratch, fresh
 
 U64 = np.uint64
 #: Tokens and documents of one chunk; a document's number in its chunk has 16 bits.
-CHUNK_TOKENS, CHUNK_DOCS = 1 << 20, 1 << 15
+CHUNK_TOKENS, CHUNK_DOCS = 1 << 19, 1 << 15
 MANY = 0xFFFF
 #: Documents of one block when the rest is compared.
 BLOCK_DOCS = 1024
@@ -148,6 +148,8 @@ def _emit(buckets: int, docs: Iterator[tuple[int, int, bytes, np.ndarray]]) -> I
             number += 1
     if ids:
         yield flush()
+    del ids, sizes, prints, sets
+    T.trim()
 
 
 def _from_texts(n: int, buckets: int):

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; temporaries take about 60 times as much.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -142,3 +142,16 @@ def sequence_hash(h: np.ndarray) -> int:
     """The hash of one whole sequence of fewer words than an n-gram has."""
     with np.errstate(over="ignore"):
         return int(mix(np.array([np.sum(h * _MULT[: len(h)], dtype=U64) + U64(len(h))], U64))[0])
+
+
+def trim() -> None:
+    """Give memory that is free but held back to the system: idle workers count against their executor."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,12 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .textops import trim
 
 MAGIC = b"RSTLWM01"
 #: Bits of a plane's block, and of a step of the rank directory.
 BLOCK_BITS, STEP_BITS = 1 << 19, 1 << 12
 #: Tokens after which a shard is closed, at the end of a document.
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 SUFFIX = "wvm"
 
 
@@ -198,7 +200,7 @@ class WaveletFile:
 # ---------------------------------------------------------------- tokens
 
 #: Words whose ids a worker keeps at once, and words of one call to the tokenizer.
-CACHED_WORDS, CALL_WORDS = 600_000, 500
+CACHED_WORDS, CALL_WORDS = 400_000, 500
 _ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
 _ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _PUNCT[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True  # all of ASCII but the apostrophe
@@ -304,11 +306,16 @@ class Encoder:
         return ids, np.diff(last[np.flatnonzero(code == 0)].astype(np.int64), prepend=0)
 
 
+#: Seconds after its last task in which a worker keeps its words.
+IDLE_SECONDS = 5.0
 _ENCODERS: dict[tuple, Encoder] = {}
+_TIMERS: list[threading.Timer] = []
 
 
 def encoder(model: str, end_id: int | None, by_words: bool) -> Encoder:
-    """One encoder for each worker process; its words serve the next task too."""
+    """One encoder for each worker process; its words serve the next task too, if that follows at once."""
+    while _TIMERS:
+        _TIMERS.pop().cancel()
     key = (xxhash.xxh3_128_digest(model), end_id, by_words)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -316,6 +323,18 @@ def encoder(model: str, end_id: int | None, by_words: bool) -> Encoder:
     return _ENCODERS[key]
 
 
+def _leave_soon() -> None:
+    """Drop the words once the worker has been idle for a while, so that other stages have the memory."""
+
+    def drop() -> None:
+        _ENCODERS.clear()
+        trim()
+
+    _TIMERS.append(threading.Timer(IDLE_SECONDS, drop))
+    _TIMERS[-1].daemon = True
+    _TIMERS[-1].start()
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     """Where the public tokenizer of this name lies on the driver."""
     import public_tokenizers
@@ -356,7 +375,7 @@ def _shards(model, end_id: int | None, by_words: bool, root: str, most: int):
             names = batch.column(0).to_pylist()
             first = 0
             while first < len(texts):  # a block of texts at a time
-                last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 21, "right")))
+                last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 20, "right")))
                 got, length = coder.encode(texts.slice(first, last - first).to_pylist())
                 cut, begin = np.concatenate([[0], np.cumsum(length)]), 0
                 while begin < len(length):
@@ -371,6 +390,8 @@ def _shards(model, end_id: int | None, by_words: bool, root: str, most: int):
                 first = last
         if docs:
             yield close()
+        del coder
+        _leave_soon()
 
     return run
 
