@@ -8,7 +8,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neighbourhood import gaussian, gradient
+from ..functions.scalars import symmetric_eigenvalues
+from .neighbourhood import gaussian, gaussian_derivatives, structure_tensor
 
 
 def balanced(rows: DataFrame, label: str) -> DataFrame:
@@ -34,14 +35,23 @@ def classify_vectors(rows: DataFrame, key: str, array: str, label: str, classes:
 
 
 def feature_stack(px: DataFrame, sigmas: list[float], height: int, width: int) -> DataFrame:
-    """The pixel and, by scale: its smoothed value, gradient magnitude and difference of Gaussians."""
+    """The pixel and eight maps by scale, in this order.
+
+    Smoothed value, gradient magnitude, Laplacian of the Gaussian, difference of
+    Gaussians (ratio 1.6), larger and smaller eigenvalue of the structure tensor
+    and of the Hessian.
+    """
     out = px.select("y", "x", F.col("v").cast("double").alias("raw"))
     for k, s in enumerate(sigmas):
-        smooth = gaussian(px, s, height, width)
-        wide = gaussian(px, s * 1.6, height, width)
-        slope = gradient(smooth, height, width).select("y", "x", F.hypot("gy", "gx").alias(f"grad{k}"))
-        out = out.join(smooth.withColumnRenamed("v", f"g{k}"), ["y", "x"]).join(slope, ["y", "x"])
-        out = out.join(wide.withColumnRenamed("v", "_wide"), ["y", "x"]).withColumn(f"dog{k}", F.col(f"g{k}") - F.col("_wide")).drop("_wide")
+        fine = gaussian_derivatives(px, s, height, width)
+        wide = gaussian(px, s * 1.6, height, width).withColumnRenamed("v", "_wide")
+        s1, s2 = symmetric_eigenvalues(F.col("ayy"), F.col("ayx"), F.col("axx"))
+        h1, h2 = symmetric_eigenvalues(F.col("hyy"), F.col("hyx"), F.col("hxx"))
+        maps = fine.join(wide, ["y", "x"]).join(structure_tensor(px, s, height, width), ["y", "x"]).select(
+            "y", "x", F.col("v").alias(f"g{k}"), F.hypot("gy", "gx").alias(f"grad{k}"), (F.col("hyy") + F.col("hxx")).alias(f"log{k}"), (F.col("v") - F.col("_wide")).alias(f"dog{k}"),
+            s1.alias(f"st_big{k}"), s2.alias(f"st_small{k}"), h1.alias(f"he_big{k}"), h2.alias(f"he_small{k}"),
+        )
+        out = out.join(maps, ["y", "x"])
     return out
 
 

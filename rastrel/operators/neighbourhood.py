@@ -75,24 +75,57 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, floa
     return [(k, x / sum(w)) for k, x in zip(range(-r, r + 1), w)]
 
 
-def convolve(px: DataFrame, kernel: list[tuple[int, float]], axis: str, n: int, value: str = "v") -> DataFrame:
-    """One pass of a separable filter with mirrored edges; every pixel of the plane must be there.
+def derivative_kernel(sigma: float, order: int, truncate: float = 4.0) -> list[tuple[int, float]]:
+    """The sampled Gaussian times the polynomial of its first or second derivative; order 0 is the Gaussian."""
+    s2 = sigma * sigma
+    return [(k, w * (1.0, k / s2, (k * k / s2 - 1.0) / s2)[order]) for k, w in gaussian_kernel(sigma, truncate)]
+
 
-    A pixel bears on the places that read it directly or through the mirror, so
-    the sum meets at the reading place and the input is scanned once.
+def convolve_many(px: DataFrame, out: dict[str, list[tuple[str, list[tuple[int, float]]]]], axis: str, n: int) -> DataFrame:
+    """One pass of several filters along an axis with mirrored edges; every pixel of the plane must be there.
+
+    ``out``: by name, the (column, kernel) terms that are summed.  A pixel bears
+    on the places that read it directly or through the mirror, so the sums meet
+    at the reading place: one scan and one shuffle, however many filters.
     """
     other = "x" if axis == "y" else "y"
-    w = {k: x for k, x in kernel}
-    r = max(w)
+    terms = [(name, value, dict(kernel)) for name, parts in out.items() for value, kernel in parts]
+    r = max(max(w) for _, _, w in terms)
     c = F.col(axis)
-    reads = []
-    for k, weight in kernel:
-        reads.append(F.struct((c - k).alias("at"), F.lit(weight).alias("w")))
-    for k in range(-r, r + 1):  # through the mirror at either end
-        reads.append(F.struct(F.when((-c - 1 - k >= 0) & (k < 0), -c - 1 - k).otherwise(F.lit(-1)).alias("at"), F.lit(w[k]).alias("w")))
-        reads.append(F.struct(F.when((2 * n - 1 - c - k < n) & (k > 0), 2 * n - 1 - c - k).otherwise(F.lit(-1)).alias("at"), F.lit(w[k]).alias("w")))
-    met = px.select(F.col(other), F.col(value).alias("_v"), F.explode(F.array(*reads)).alias("_r")).where(F.col("_r.at").between(0, n - 1))
-    return met.groupBy(F.col("_r.at").alias(axis), other).agg(F.sum(F.col("_v") * F.col("_r.w")).alias("v"))
+
+    def read(at: Column, k: int) -> Column:
+        return F.struct(at.alias("at"), *[F.lit(w.get(k, 0.0)).alias(f"w{i}") for i, (_, _, w) in enumerate(terms)])
+
+    reads = [read(c - k, k) for k in range(-r, r + 1)]
+    reads += [read(-c - 1 - k, k) for k in range(-r, 0)] + [read(2 * n - 1 - c - k, k) for k in range(1, r + 1)]  # through the mirror at either end
+    values = sorted({value for _, value, _ in terms})
+    met = px.select(F.col(other), *values, F.explode(F.array(*reads)).alias("_r")).where(F.col("_r.at").between(0, n - 1))
+    total = lambda name: sum((F.col(value) * F.col(f"_r.w{i}") for i, (of, value, _) in enumerate(terms) if of == name), F.lit(0.0))
+    return met.groupBy(F.col("_r.at").alias(axis), other).agg(*[F.sum(total(name)).alias(name) for name in out])
+
+
+def convolve(px: DataFrame, kernel: list[tuple[int, float]], axis: str, n: int, value: str = "v") -> DataFrame:
+    """One pass of one separable filter."""
+    return convolve_many(px, {"v": [(value, kernel)]}, axis, n)
+
+
+def gaussian_derivatives(px: DataFrame, sigma: float, height: int, width: int, truncate: float = 4.0) -> DataFrame:
+    """``(y, x, v, gy, gx, hyy, hyx, hxx)``: the smoothed plane, its slopes and its second derivatives.
+
+    All are convolutions with derivatives of the Gaussian, edges mirrored, in two
+    shuffles together.  The Laplacian is hyy + hxx.
+    """
+    k0, k1, k2 = (derivative_kernel(sigma, order, truncate) for order in range(3))
+    down = convolve_many(px, {"d0": [("v", k0)], "d1": [("v", k1)], "d2": [("v", k2)]}, "y", height)
+    return convolve_many(down, {"v": [("d0", k0)], "gy": [("d1", k0)], "gx": [("d0", k1)], "hyy": [("d2", k0)], "hyx": [("d1", k1)], "hxx": [("d0", k2)]}, "x", width)
+
+
+def structure_tensor(px: DataFrame, sigma: float, height: int, width: int) -> DataFrame:
+    """``(y, x, ayy, ayx, axx)``: products of central differences, smoothed by a Gaussian; edges mirrored."""
+    products = gradient(px, height, width).select("y", "x", (F.col("gy") * F.col("gy")).alias("ayy"), (F.col("gy") * F.col("gx")).alias("ayx"), (F.col("gx") * F.col("gx")).alias("axx"))
+    k = gaussian_kernel(sigma)
+    each = {name: [(name, k)] for name in ("ayy", "ayx", "axx")}
+    return convolve_many(convolve_many(products, each, "y", height), each, "x", width)
 
 
 def gaussian(px: DataFrame, sigma: float, height: int, width: int, truncate: float = 4.0) -> DataFrame:

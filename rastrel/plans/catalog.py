@@ -364,6 +364,31 @@ def dog(spark, d):
     return N.gaussian(p, 1.0, H, W).join(wide, ["y", "x"]).select("y", "x", F.round(F.col("v") - F.col("m"), 4).alias("v"))
 
 
+def _kernel_sql(sigma: float) -> str:
+    rows = zip(*(N.derivative_kernel(sigma, order) for order in range(3)))
+    return ", ".join(f"({r[0][0]}, {', '.join(f'cast({w!r} as double)' for _, w in r)})" for r in rows)
+
+
+@query(sql(f""", k(o, w0, w1, w2) as (values {_kernel_sql(1.0)}),
+a as (select p.y, p.x, sum(s.v * w0) as d0, sum(s.v * w1) as d1, sum(s.v * w2) as d2 from px p, k, px s where s.x = p.x and s.y = {MIRROR.format("p.y + o", 48)} group by 1, 2),
+b as (select p.y, p.x, sum(s.d2 * w0) as hyy, sum(s.d1 * w1) as hyx, sum(s.d0 * w2) as hxx from a p, k, a s where s.y = p.y and s.x = {MIRROR.format("p.x + o", 64)} group by 1, 2)
+select y, x, round(hyy + hxx, 4) as laplace, round((hyy + hxx) / 2 + sqrt((hyy - hxx) * (hyy - hxx) / 4 + hyx * hyx), 4) as big, round((hyy + hxx) / 2 - sqrt((hyy - hxx) * (hyy - hxx) / 4 + hyx * hyx), 4) as small from b""", "px"))
+def hessian_eigs(spark, d):
+    got = N.gaussian_derivatives(I.px(spark, d), 1.0, H, W)
+    big, small = S.symmetric_eigenvalues(F.col("hyy"), F.col("hyx"), F.col("hxx"))
+    return got.select("y", "x", F.round(F.col("hyy") + F.col("hxx"), 4).alias("laplace"), F.round(big, 4).alias("big"), F.round(small, 4).alias("small"))
+
+
+@query(sql(f""", g as (select p.y, p.x, (b.v - a.v) / 2e0 as gy, (r.v - l.v) / 2e0 as gx from px p join px a on a.y = greatest(p.y - 1, 0) and a.x = p.x join px b on b.y = least(p.y + 1, 47) and b.x = p.x join px l on l.y = p.y and l.x = greatest(p.x - 1, 0) join px r on r.y = p.y and r.x = least(p.x + 1, 63)),
+k(o, w) as (values {", ".join(f"({k}, cast({w!r} as double))" for k, w in N.gaussian_kernel(1.0))}),
+a as (select p.y, p.x, sum(s.gy * s.gy * w) as yy, sum(s.gy * s.gx * w) as yx, sum(s.gx * s.gx * w) as xx from g p, k, g s where s.x = p.x and s.y = {MIRROR.format("p.y + o", 48)} group by 1, 2),
+b as (select p.y, p.x, sum(s.yy * w) as yy, sum(s.yx * w) as yx, sum(s.xx * w) as xx from a p, k, a s where s.y = p.y and s.x = {MIRROR.format("p.x + o", 64)} group by 1, 2)
+select y, x, round((yy + xx) / 2 + sqrt((yy - xx) * (yy - xx) / 4 + yx * yx), 2) as big, round((yy + xx) / 2 - sqrt((yy - xx) * (yy - xx) / 4 + yx * yx), 2) as small from b""", "px"))
+def structure_eigs(spark, d):
+    big, small = S.symmetric_eigenvalues(F.col("ayy"), F.col("ayx"), F.col("axx"))
+    return N.structure_tensor(I.px(spark, d), 1.0, H, W).select("y", "x", F.round(big, 2).alias("big"), F.round(small, 2).alias("small"))
+
+
 OFF = "(values (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) o(a, b)"
 
 

@@ -110,3 +110,20 @@ def test_progress_stream_keeps_the_newest_event(spark, tmp_path):
     got = spark.table("newest")
     assert got.agg({"n": "sum"}).first()[0] == events.count()
     assert got.groupBy("run", "phase", "hour").count().where("count > 1").count() == 0
+
+
+def test_feature_stack_of_a_parabola(spark):
+    """With a and b the distances from the centre, v = a*a + 3*a*b + 5*a: there the derivatives are those of the formula.
+
+    The plane is 0 at the centre, since the weights of a truncated second derivative do not sum to 0 exactly.
+    """
+    from pyspark.sql import functions as F
+
+    px = spark.range(24).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("x")).selectExpr("y", "x", "cast((y - 12) * (y - 12) + 3 * (y - 12) * (x - 12) + 5 * (y - 12) as double) as v")
+    stack = learning.feature_stack(px, [1.0], 24, 24)
+    assert len(stack.columns) == 2 + 1 + 8
+    got = stack.where("y = 12 and x = 12").first()
+    assert abs(got["grad0"] - 5) < 0.02
+    want = np.linalg.eigvalsh([[2.0, 3.0], [3.0, 0.0]])
+    assert abs(got["log0"] - 2) < 0.02 and abs(got["he_big0"] - want[1]) < 0.02 and abs(got["he_small0"] - want[0]) < 0.02
+    assert got["st_big0"] >= got["st_small0"] >= 0 and abs(got["dog0"] - (1 - 1.6**2)) < 0.02
