@@ -1,11 +1,11 @@
 """License scans by a positional rare-token index.
 
 The index holds, for each word of the licence templates, its places in them.  A
-file's licence words are ranked by inverse document frequency over the whole
-corpus; the postings of the rarest are shifted by their place in the file and
-intersected, so that words which stand as they do in a template meet at one
-offset.  A template whose mandatory key phrase stands where that offset puts it
-is reported.
+template's words are ranked by inverse document frequency over the whole corpus;
+the postings of the rarest of each, wherever they stand in a file, are shifted by
+their place in it and intersected, so that words which stand as they do in a
+template meet at one offset.  A template whose mandatory key phrase stands where
+that offset puts it is reported.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
-#: Rarest licence words of a file that are looked up, and postings that must meet at an offset.
+#: Rarest words of each template that are looked up, and postings that must meet at an offset.
 RAREST, MEET = 8, 2
 
 
@@ -100,7 +100,6 @@ def scan_words(codes: np.ndarray, index: Index, idf: np.ndarray, anchors: list[i
     labels: set[str] = set()
     score = 0.0
     held = np.flatnonzero(codes >= 0)
-    seen = np.unique(codes[held])
     for t, anchor in enumerate(anchors):  # a phrase stands only where its rarest word does
         code = index.coded[t]
         at = held[codes[held] == code[anchor]] - anchor
@@ -111,13 +110,11 @@ def scan_words(codes: np.ndarray, index: Index, idf: np.ndarray, anchors: list[i
             places += at.tolist()
             base.add(index.entries[t][0])
             score = 1.0
-    rare = seen[lookup[seen]]
-    rare = set(rare[np.argsort(-idf[rare], kind="stable")][:RAREST].tolist())
     met: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for p in held.tolist():
-        if (c := int(codes[p])) in rare:
-            for t, i in index.postings[c]:
-                met[t, p - i].add(c)
+    looked = held[lookup[codes[held]]]
+    for p, c in zip(looked.tolist(), codes[looked].tolist()):
+        for t, i in index.postings[c]:
+            met[t, p - i].add(c)
     for (t, at), which in met.items():
         label, _, key, key_end, phrase = index.entries[t]
         code = index.coded[t]
