@@ -27,15 +27,14 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 HEX_ALPHABET, HEX_BITS = "0123456789abcdef", 3.0
 B64_ALPHABET, B64_BITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8
 WINDOW = 20
-#: Candidates that are known not to be secrets.
+#: Pieces that are known not to be secrets: a candidate is allowed if no window stands clear of them.
+PIECES = r"(?i:example|placeholder|changeme|redacted|xxxx|dummy)|0?123456789|abcdefghij|(.)\1{5,}"
+#: Whole candidates that are known not to be secrets; words have no digit but at their end.
 ALLOW = [
-    r"(?i)example|placeholder|changeme|redacted|xxxx|dummy",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"0123456789|123456789|abcdefghij|(.)\1{5}",
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
-    r"(?:^|/)[a-z]+(?:[/_-][a-z]+)+(?:$|/)",
-    r"^[A-Za-z]+(?:[-_/][A-Za-z0-9]{1,12})+$",
+    r"^[A-Za-z]+(?:[-_/](?:[A-Za-z]{1,12}|[0-9]{1,12}|[A-Za-z]{1,8}[0-9]{1,4}))+$",
 ]
 
 
@@ -75,8 +74,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no spans; an empty table gives an empty table;
     rows that repeat an id are scanned one by one; other columns are not read.
-    A candidate that the allow-list matches gets no entropy span; pattern spans
-    are never suppressed.
+    A candidate that an allow-list pattern matches as a whole, or in which no
+    window stands clear of the harmless pieces, gets no entropy span; ``allow``
+    stands for both lists.  Pattern spans are never suppressed.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     empty = F.array().cast("array<struct<kind:int,k:int,gap:int,hit:string,inner:int>>")
@@ -90,7 +90,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = Window.partitionBy("doc_id", "row", "kind").orderBy("k")
     last = F.sum(F.col("gap") + F.length("hit")).over(order)
     rows = rows.withColumn("last", last).withColumn("first", F.col("last") - F.length("hit"))
-    allowed = F.lit(False)
+    clear = F.exists(F.split("hit", PIECES, -1), lambda x: F.length(x) >= window)
+    allowed = ~clear & F.col("hit").rlike(PIECES) if allow is None else F.lit(False)
     for pattern in ALLOW if allow is None else allow:
         allowed = allowed | F.col("hit").rlike(pattern)
     is_hex = F.col("hit").rlike("^[0-9a-fA-F]+$")
