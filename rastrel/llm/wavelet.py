@@ -213,16 +213,24 @@ _END = b"\xff"
 def _words(texts: list[bytes]) -> list[bytes]:
     """The words of all texts, ``_END`` after each, cut further where any word tokenizer that lower-cases would cut.
 
-    A block that may name a special token is cut at white space alone.
+    A block that may name a special token is cut at white space alone.  A letter
+    before a character outside ASCII stays as it is, since the tokenizer composes
+    the two before it lower-cases them.
     """
     text = b" \xff ".join([*texts, b""])
     if b"<|" in text:
         return text.split()
-    text = text.lower()
+    given, text = np.frombuffer(text, np.uint8), text.lower()
     raw = np.frombuffer(text, np.uint8)
     alnum, punct = _ALNUM[raw], _PUNCT[raw]
     edge = (alnum[:-1] & punct[1:]) | (punct[:-1] & alnum[1:])
     cut = np.flatnonzero(edge) + 1
+    before = np.flatnonzero(given[1:] >= 0x80)
+    before = before[given[before] != raw[before]]
+    if len(before):
+        raw = raw.copy()
+        raw[before] = given[before]
+        text = raw.tobytes()
     if len(cut):
         old = np.ones(len(raw) + len(cut), bool)
         old[cut + np.arange(len(cut))] = False
