@@ -52,7 +52,8 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, least_words: i
     lines = _lines(docs, id_col, text_col)
     place = F.struct("doc_id", "row", "at")
     counted = lines.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    lone = scratch.save(lines.join(counted, "rank").select("doc_id", "row", "at", "words", "rank"), "lines")
+    # Repeated rows are one document: their copies end here, or each join of two windows would multiply them.
+    lone = scratch.save(lines.join(counted, "rank").select("doc_id", "row", "at", "words", "rank").distinct(), "lines")
     firsts = lone.groupBy("rank").agg(F.min(place).alias("first")).select("rank", "first")
     have = {1: scratch.save(lone.join(firsts, "rank").select("doc_id", "row", "at", "words", "rank", (place > F.col("first")).alias("later")), "size-1")}
     cuts = [have[1].where(F.col("later") & (F.col("words") >= least_words)).select("row", "doc_id", F.col("at").alias("first"), F.lit(1).alias("size"))]
