@@ -118,8 +118,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 
 def realise(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture reads it, with all their columns; ids must be unique."""
-    key, n, k = fresh(docs, "mix_id", "mix_copies", "mix_copy")
-    copies = mix_sources(docs, id_col, **how).where("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(n))
-    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col(key)))
+    """The rows of ``docs``, each as often as the mixture reads it, with all their columns.
+
+    Rows that repeat an id within a source (or have none) are each read as often
+    as the one of them that is read least: at the border of the budget only some fit.
+    """
+    source_col = how.get("source_col", "source")
+    key, of, n, k = fresh(docs, "mix_id", "mix_source", "mix_copies", "mix_copy")
+    copies = mix_sources(docs, id_col, **how).groupBy(F.col("doc_id").alias(key), F.col("source").alias(of)).agg(F.min("copies").alias(n)).where(F.col(n) > 0)
+    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & F.col(source_col).cast("string").eqNullSafe(F.col(of)))
     return joined.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)
