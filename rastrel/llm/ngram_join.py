@@ -427,9 +427,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     state = scratch.save(_shared_tokens(rows.mapInArrow(_from_texts(n, buckets), ENTRIES), buckets, num, den), "state")
     near = state.where("toks is not null")
-    rep = scratch.save(near.groupBy("fp").agg(F.min("doc_id").alias("rep")), "rep")
-    # One row of each class: repeated ids of a representative hold the same set.
-    firsts = near.join(rep.withColumnRenamed("fp", "rep_fp"), (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("rep_fp"))).select("doc_id", "n_shingles", "fp", "toks")
+    # A class is a node by its smallest id, or by a hash of its fingerprint if that id stands for several classes.
+    rep = near.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    first = rep.groupBy("rep").agg(F.min("fp").alias("first_fp"))
+    node = F.when(F.col("fp") == F.col("first_fp"), F.col("rep")).otherwise(F.xxhash64("fp"))
+    rep = scratch.save(rep.join(first, "rep").select("fp", "rep", node.alias("class")), "rep")
+    # One set of each class; rows of an id with one text hold the same set.
+    firsts = near.join(rep.withColumnRenamed("fp", "rep_fp"), (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("rep_fp"))).select(F.col("class").alias("doc_id"), "n_shingles", "fp", "toks")
     sets = scratch.save(_shared_tokens(firsts.mapInArrow(_from_sets(buckets), ENTRIES), buckets, num, den).where("toks is not null").drop("fp").dropDuplicates(["doc_id"]), "sets")
 
     sigs = scratch.save(sets.select("doc_id", "n_shingles", "toks", "dfs").mapInArrow(_sign(num, den, list(classes)), SIGS), "sigs")
@@ -446,10 +450,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     comp = connected_components(stars, scratch, "first")
 
     rest = scratch.save(_rest(sigs, sets, comp, num, den), "rest")
-    final = connected_components(stars.union(rest), scratch, "last")
+    same = rep.where(F.col("class") != F.col("rep")).select(F.col("rep").alias("a"), F.col("class").alias("b"))  # classes of one id
+    final = connected_components(stars.union(rest).union(same), scratch, "last")
+    names = final.join(rep, F.col("node") == F.col("class")).groupBy("comp").agg(F.min("rep").alias("name"))
+    final = final.join(names, "comp").select(F.col("node").alias("class"), F.col("name").alias("comp"))
     scratch.drop("sigs", "sets", "stars", "rest")
 
-    named = state.select("doc_id", "n_shingles", F.when(F.col("toks").isNotNull(), F.col("fp")).alias("fp")).join(rep, "fp", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    named = state.select("doc_id", "n_shingles", F.when(F.col("toks").isNotNull(), F.col("fp")).alias("fp")).join(rep, "fp", "left").join(final, "class", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
     lone = unnamed.mapInArrow(_sizes(n), "doc_id long, n_shingles long").withColumn("component_id", F.lit(None).cast("long"))
     return named.union(lone)
