@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, fresh
 
 #: Exponents tried at once, and rounds; each narrows the range by the number of exponents less one.
-TRIES, ROUNDS = 33, 5
+TRIES, ROUNDS = 33, 7
 #: Documents of a block, on average.
 BLOCK_DOCS = 256
 
 
-def source_shares(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
-    """``(source, docs, tokens)``; a document counts its words, at least 1."""
+def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
+    """``(doc_id, source, n_tokens, place)``: a row counts its words, at least 1; ``place`` hashes its id, or its text if it has none."""
     words = F.greatest(F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), F.lit(1)).cast("long")
-    return docs.select(F.col(source_col).cast("string").alias("source"), words.alias("n")).groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    key = F.col(id_col).cast("long")
+    place = F.when(key.isNull(), F.xxhash64(F.lit(seed), F.col(text_col).cast("string"))).otherwise(F.xxhash64(key, F.lit(seed)))
+    return docs.select(key.alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("n_tokens"), place.alias("place"))
 
 
 def find_exponent(shares: DataFrame, target_entropy: float | None, most_repeats: float | None, budget_share: float | None) -> tuple[float, float]:
@@ -76,17 +78,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     number of sources.  A source's budget is its weight times the budget.  Whole
     epochs of it give each document one copy each; the rest is filled by its
     blocks, in the order of a permutation, and by the documents of the block at
-    the border, while they fit.  Blocks are drawn by the hash of the id, so no
-    task needs a whole source.  A null source is a source of its own; null and
-    empty texts count one token; an empty table gives an empty table; rows that
-    repeat an id share its fate unless they stand at the border.
+    the border, while they fit.  Blocks are drawn by the hash of the id (of the
+    text, if there is no id), so no task needs a whole source; ties of the hash
+    are broken by the id.  A null source is a source of its own; null and empty
+    texts count one token, and texts of any length are counted whole; an empty
+    table gives an empty table; rows of a source that repeat an id, or that have
+    none and repeat a text, share their fate; other columns are not read.
     """
+    return _mixed(docs, id_col, source_col, text_col, target_entropy, most_repeats, budget_share, seed, scratch).drop("place")
+
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target_entropy: float | None = None, most_repeats: float | None = 4.0, budget_share: float | None = 1.0, seed: int = 0, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    names = scratch.save(source_shares(docs, source_col, text_col), "sources")
+    rows = scratch.save(_rows(docs, id_col, source_col, text_col, seed), "rows")
+    names = scratch.save(rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "sources")
     total = names.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
-    schema = "doc_id long, source string, n_tokens long, block long, copies long"
     if not total["n"]:
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], "doc_id long, source string, n_tokens long, block long, place long, copies long")
     shares = names.select((F.col("tokens") / F.lit(float(total["t"]))).alias("p"))
     exponent, z = find_exponent(shares, None if target_entropy is None else target_entropy * math.log(total["n"]), most_repeats, budget_share)
     p = F.col("tokens") / F.lit(float(total["t"]))
@@ -96,35 +104,43 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         budget_share = 1 / (lowest ** (exponent - 1) / z)
     # Readings of each source, and the tokens of the last, partial one.
     reads = F.round(ratio * F.lit(budget_share), 9)
-    plan = names.select("source", F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks"), F.floor(reads).alias("epochs"), F.floor((reads - F.floor(reads)) * F.col("tokens")).alias("rest"))
-
-    words = F.greatest(F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)), F.lit(1)).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words.alias("n_tokens"))
-    planned = plan.withColumnRenamed("source", "of")
-    rows = rows.join(planned, rows["source"].eqNullSafe(planned["of"])).drop("of")
-    place = F.xxhash64("doc_id", F.lit(seed))
-    rows = scratch.save(rows.select("doc_id", "source", "n_tokens", F.pmod(place, F.col("blocks")).alias("block"), place.alias("place"), "epochs", "rest"), "rows")
+    plan = names.select(F.col("source").alias("of"), F.ceil(F.col("docs") / BLOCK_DOCS).alias("blocks"), F.floor(reads).alias("epochs"), F.floor((reads - F.floor(reads)) * F.col("tokens")).alias("rest"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", F.pmod("place", "blocks"))
 
     turn = F.xxhash64("source", "block", "epochs", F.lit(seed + 1))
-    blocks = rows.groupBy("source", "block", "epochs", "rest").agg(F.sum("n_tokens").alias("tokens")).withColumn("turn", turn)
-    before = Window.partitionBy("source").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("left", F.col("rest") - F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    # The permutation's order, in 4096 stretches: sums before a stretch, and within it.
+    blocks = rows.groupBy("source", "block", "epochs", "rest").agg(F.sum("n_tokens").alias("tokens")).withColumn("turn", turn).withColumn("stretch", F.shiftright("turn", 52))
+    blocks = scratch.save(blocks, "turns")
+    ahead = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocks.groupBy("source", "stretch").agg(F.sum("tokens").alias("all"))
+    bases = bases.select(F.col("source").alias("of"), F.col("stretch").alias("at"), F.coalesce(F.sum("all").over(ahead("source").orderBy("stretch")), F.lit(0)).alias("base"))
+    blocks = blocks.join(bases, F.col("source").eqNullSafe(F.col("of")) & (F.col("stretch") == F.col("at")))
+    blocks = blocks.withColumn("left", F.col("rest") - F.col("base") - F.coalesce(F.sum("tokens").over(ahead("source", "stretch").orderBy("turn", "block")), F.lit(0)))
     blocks = scratch.save(blocks.select(F.col("source").alias("of"), F.col("block").alias("in_block"), "tokens", "left"), "blocks")
-    inner = Window.partitionBy("source", "block").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(blocks, rows["source"].eqNullSafe(blocks["of"]) & (rows["block"] == blocks["in_block"])).drop("of", "in_block")
+
+    placed = rows.join(blocks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block"))).drop("of", "in_block")
     sure = placed.where((F.col("left") <= 0) | (F.col("tokens") <= F.col("left"))).withColumn("more", (F.col("left") > 0).cast("long"))
-    border = placed.where((F.col("left") > 0) & (F.col("tokens") > F.col("left"))).withColumn("more", (F.sum("n_tokens").over(inner) <= F.col("left")).cast("long"))
-    return sure.unionByName(border).select("doc_id", "source", "n_tokens", "block", (F.col("epochs") + F.col("more")).alias("copies"))
+    border = placed.where((F.col("left") > 0) & (F.col("tokens") > F.col("left")))
+    # Equal keys are one unit, so that a window holds a block's different keys only.
+    unit = border.groupBy("source", "block", "place", "doc_id", "left").agg(F.sum("n_tokens").alias("size"))
+    until = F.sum("size").over(Window.partitionBy("source", "block").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    unit = unit.select(F.col("source").alias("of"), F.col("place").alias("at"), F.col("doc_id").alias("key"), (until <= F.col("left")).cast("long").alias("more"))
+    border = border.join(unit, F.col("source").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("key")))
+    columns = ["doc_id", "source", "n_tokens", "block", "place", (F.col("epochs") + F.col("more")).alias("copies")]
+    return sure.select(*columns).unionByName(border.select(*columns))
 
 
-def realise(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def realise(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture reads it, with all their columns.
 
-    Rows that repeat an id within a source (or have none) are each read as often
-    as the one of them that is read least: at the border of the budget only some fit.
+    Rows are never multiplied by others of their id: those of a source that
+    repeat an id, or that have none and repeat a text, are each read equally
+    often.  Null sources, null and empty texts count as in ``mix_sources``; an
+    empty table gives an empty table.
     """
-    source_col = how.get("source_col", "source")
-    key, of, n, k = fresh(docs, "mix_id", "mix_source", "mix_copies", "mix_copy")
-    copies = mix_sources(docs, id_col, **how).groupBy(F.col("doc_id").alias(key), F.col("source").alias(of)).agg(F.min("copies").alias(n)).where(F.col(n) > 0)
-    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & F.col(source_col).cast("string").eqNullSafe(F.col(of)))
+    key, of, at, n, k = fresh(docs, "mix_id", "mix_source", "mix_place", "mix_copies", "mix_copy")
+    copies = _mixed(docs, id_col, source_col, text_col, seed=seed, **how).groupBy(F.col("doc_id").alias(key), F.col("source").alias(of), F.col("place").alias(at)).agg(F.min("copies").alias(n)).where(F.col(n) > 0)
+    own = F.col(id_col).cast("long")
+    place = F.when(own.isNull(), F.xxhash64(F.lit(seed), F.col(text_col).cast("string"))).otherwise(F.xxhash64(own, F.lit(seed)))
+    joined = docs.join(copies, (place == F.col(at)) & own.eqNullSafe(F.col(key)) & F.col(source_col).cast("string").eqNullSafe(F.col(of)))
     return joined.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), n))).select(*docs.columns)

@@ -6,17 +6,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no ``spark.checkpoint.dir``, as in tests.
+#: Used only where a session without executors of its own names no ``spark.checkpoint.dir``, as in tests.
 FALLBACK = "file:///tmp/checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set to ``FALLBACK`` if it has none."""
+    """The session's ``spark.checkpoint.dir`` with its scheme; ``FALLBACK`` if a local session has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = FALLBACK
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 class Scratch:

@@ -417,17 +417,22 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", by_words: bool = True, shard_tokens: int = SHARD_TOKENS, scratch: Scratch | None = None) -> tuple[str, DataFrame]:
     """Write ``docs`` in ascending id order; the folder of the files and a table of them.
 
-    Null ids come first; rows that repeat an id stand side by side, by text; a
-    null text is empty and gives the end id alone; an empty table writes no
-    file.  Files land in the shared folder under their final names only when
-    whole.  Other columns are not read.
+    Null ids come first; rows that repeat an id stand side by side, those of one
+    text together, and may fall to several tasks, as may equal rows; a null text
+    is empty and gives the end id alone; a text of any length is encoded whole
+    and stands in one file; an empty table writes no file.  Files land in the
+    shared folder under their final names only when whole.  Other columns are
+    not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "tokens")
     root = f"{scratch.path}/files"
     with open(tokenizer_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, of fixed size
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges end between ids, between texts of one id, and between equal rows, whose order does not matter.
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("turn", F.monotonically_increasing_id())
+    order = ["doc_id", "tie", "turn"]
+    ordered = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("doc_id", "text")
     made = scratch.save(ordered.mapInArrow(_shards(model, end_id, by_words, root, shard_tokens), "shard string, part long, seq long, n_docs long, n_tokens long"), "shards")
     return root, made
 
@@ -438,12 +443,11 @@ def read_tokens(root: str, shards: DataFrame) -> DataFrame:
     empty = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
     if shards.isEmpty():
         return spark.createDataFrame([], empty)
-    # Prefix sums in two steps, so that no task sees all shards.
-    group = shards.withColumn("group", F.expr("part div 1024"))
-    within = Window.partitionBy("group").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = group.groupBy("group").agg(F.sum("n_tokens").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(across), F.lit(0)))
-    offsets = group.join(groups, "group").select("shard", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("offset"))
+    # Prefix sums in two steps: within the shards of a task, and over tasks.
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(across), F.lit(0)))
+    offsets = shards.join(parts, "part").select("shard", (F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).alias("offset"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{SUFFIX}").load(root).select("path", "content")
     found = files.mapInArrow(_read, "shard string, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(offsets, "shard").select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard")
