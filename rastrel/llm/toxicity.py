@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the hashed byte n-grams of the lower-cased text that a document
-holds at all.  The log ratio of a feature's smoothed counts in the two classes
-scales it; a logistic regression on the scaled features of the most telling
-n-grams gives the weights.  Scoring looks every n-gram up in one table.
+holds at all.  The log ratio of a feature's smoothed counts in the two classes,
+taken over all labelled rows, scales it; a logistic regression on the scaled
+features of the most telling n-grams, fitted on a bounded sample of the labelled
+rows, gives the weights.  Scoring looks every n-gram up in one table.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .scratch import Scratch
 
-#: Byte n-gram lengths and the slots that they hash to.
+#: Byte n-gram lengths and the slots that they hash to; the tables of a model have this size.
 LENGTHS, SLOTS = (4, 5, 6), 1 << 18
-#: Labelled rows that a fit may see (the smallest hashes of their ids), and n-grams that keep a weight.
+#: Labelled rows that the regression may see (the smallest hashes of their ids), and n-grams that keep a weight.
 MOST_ROWS, MOST_FEATURES = 12_000, 6_000
 SMOOTH, RIDGE, STEPS = 1.0, 1e-4, 300
 
@@ -54,14 +55,16 @@ def features(raw: np.ndarray, at: np.ndarray, keep: np.ndarray | None = None) ->
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, rows = np.zeros((2, SLOTS), np.int32), np.zeros(2, np.int64)
+    """``(slot, none, toxic)``: texts of each class that hold the slot; the texts themselves under slot -1."""
+    counts, rows = np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
         y = batch.column(1).to_numpy(zero_copy_only=False)
         for first, _, raw, at in T.blocks(batch.column(0)):
             for i, slots in enumerate(features(raw, at)):
                 counts[int(y[first + i]), slots] += 1
                 rows[int(y[first + i])] += 1
-    yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(rows), pa.array([c.tobytes() for c in counts], pa.binary())], names=["y", "n", "counts"])
+    held = np.flatnonzero(counts.any(0))
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), *(pa.array(np.append(c[held], n)) for c, n in zip(counts, rows))], names=["slot", "none", "toxic"])
 
 
 def _design(keep: np.ndarray):
@@ -97,23 +100,25 @@ def fit_weights(y: np.ndarray, rows: list[np.ndarray], ratio: np.ndarray) -> tup
     return out, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, scratch: Scratch | None = None) -> tuple[np.ndarray, float]:
-    """Weights and intercept, from at most ``most_rows`` labelled documents.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES, scratch: Scratch | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept: log-count ratios of all labelled documents, a regression on at most ``most_rows`` of them.
 
     Null labels are left out; a document with several labels is toxic if one
-    says so.  Without rows of both classes all weights are 0 and the intercept
-    gives the share of toxic rows (one half if there are none).
+    says so, and of one with several texts the smallest is taken; ids of equal
+    hash are sampled by the id.  Without rows of both classes all weights are 0
+    and the intercept gives the share of toxic rows (one half if there are none).
+    The driver gets a row for each of the ``SLOTS`` n-grams, and for each sampled
+    document the n-grams among the ``most_features`` kept that it holds.
     """
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)  # so bounded, it may be broadcast
-    sample = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "_id").select("text", F.least("y", F.lit(1)).alias("y"))
-    sample = scratch.save(sample, "sample")
-    parts = sample.mapInArrow(_class_counts, "y long, n long, counts binary").collect()
-    counts, rows = np.zeros((2, SLOTS)), np.zeros(2)
-    for r in parts:
-        counts[r["y"]] += np.frombuffer(r["counts"], np.int32)
-        rows[r["y"]] += r["n"]
+    named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.least(F.max(F.col(label_col).cast("int")), F.lit(1)).alias("y"))
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    # Rows of one id become one before they count: repeated ids neither weigh more nor enlarge the sample.
+    texts = texts.join(named, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    told = texts.select("text", "y").mapInArrow(_class_counts, "slot long, none long, toxic long").groupBy("slot").agg(F.sum("none").alias("none"), F.sum("toxic").alias("toxic")).toPandas()
+    rows = told.loc[told.slot < 0, ["none", "toxic"]].sum().to_numpy(float)
+    counts, told = np.zeros((2, SLOTS)), told[told.slot >= 0]
+    counts[0, told.slot], counts[1, told.slot] = told.none, told.toxic
     if not rows.all():
         share = (rows[1] + 1) / (rows.sum() + 2)
         return np.zeros(SLOTS), float(np.log(share / (1 - share)))
@@ -123,8 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     telling = np.abs(ratio) / np.sqrt(1 / (counts[1] + SMOOTH) + 1 / (counts[0] + SMOOTH))
     telling[counts.sum(0) < 3] = 0
     keep = np.zeros(SLOTS, bool)
-    keep[np.argsort(-telling, kind="stable")[:MOST_FEATURES]] = True
+    keep[np.argsort(-telling, kind="stable")[:most_features]] = True
     keep &= telling > 0
+    chosen = named.orderBy(F.xxhash64("_id"), "_id").limit(most_rows).select("_id")  # so bounded, it may be broadcast
+    sample = scratch.save(texts.join(F.broadcast(chosen), "_id").select("text", "y"), "sample")
     got = sample.mapInArrow(_design(keep), "y int, slots binary").collect()
     return fit_weights(np.array([r["y"] for r in got]), [np.frombuffer(r["slots"], np.int32) for r in got], ratio)
 
@@ -133,9 +140,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs``.
 
     Labels of documents whose crc32 of the id as text leaves 1 when divided by 3
-    are never seen.  Null and empty texts get the score of no features; a null
-    id is not held out; an empty table gives an empty table; repeated rows are
-    scored one by one; a document's other columns are not read.
+    are never seen.  Null and empty texts get the score of no features; texts of
+    any length are scored whole; a null id is not held out; an empty table gives
+    an empty table; repeated rows are scored one by one, alike; a document's other
+    columns are not read.  ``fit``: ``most_rows`` and ``most_features`` of ``train``.
     """
     held = F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % 3 == 1, F.lit(False))
     weights, bias = train(docs, labels.where(~held), id_col, text_col, label_col, **fit)
