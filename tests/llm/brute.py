@@ -121,23 +121,28 @@ def held_out(i):
 
 
 def cut_lines(rows, least_words, least_lines):
-    """{id: (text, removed)} by comparing every suffix of lines with every earlier one of the same first line."""
+    """{id: (text, removed, runs, longest)} by comparing every suffix of lines with every earlier one of the same first line."""
     docs = {i: (text or "").split("\n") for i, text in rows}
     full = {i: [k for k, x in enumerate(lines) if SPACED.search(x)] for i, lines in docs.items()}
     place = {}
     out = {}
     for i in sorted(docs):
         lines, at = docs[i], full[i]
-        gone = set()
+        gone, end, runs = set(), 0, []
         for p, k in enumerate(at):
+            best = 0
             for j, q in place.get(lines[k], []):
                 n = 0
                 while p + n < len(at) and q + n < len(full[j]) and lines[at[p + n]] == docs[j][full[j][q + n]]:
                     n += 1
-                if n >= least_lines or sum(len(SPACED.findall(lines[x])) for x in at[p : p + n]) >= least_words:
-                    gone.update(at[p : p + n])
+                best = max(best, n)
             place.setdefault(lines[k], []).append((i, p))
-        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+            if best and p + best > end:
+                end = p + best
+                if best >= least_lines or sum(len(SPACED.findall(lines[x])) for x in at[p:end]) >= least_words:
+                    gone.update(at[p:end])
+                    runs.append(best)
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone), len(runs), max(runs, default=0))
     return out
 
 

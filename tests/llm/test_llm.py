@@ -198,7 +198,7 @@ def test_line_runs(odd, small, empty):
         for words, lines in ((50, 8), (3, 3), (1000, 5)):
             want = brute.cut_lines(pairs, words, lines)
             got = line_runs.dedup_lines(df, least_words=words, least_lines=lines).collect()
-            assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got} == want
+            assert {r["doc_id"]: (r["text"], r["n_removed"], r["n_runs"], r["longest_run"]) for r in got} == want
     assert line_runs.dedup_lines(empty).count() == 0 and line_runs.dedup_lines(odd).count() == odd.count()
 
 
