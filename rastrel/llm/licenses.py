@@ -134,9 +134,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``n_base`` counts all places of the phrases; ``labels`` adds the templates
     found; ``score`` is the largest share of a found template's inverse document
-    frequency that the file's words match, 1 for a phrase, 0 for none.  Null and
-    wordless texts find nothing; an empty table gives an empty table; repeated
-    rows are judged one by one; other columns are not read.  Document frequencies
+    frequency that the file's words match, 1 for a phrase, 0 for none.  Words of
+    equal frequency rank by the alphabet.  Null and wordless texts find nothing;
+    texts of any length are read whole, and every rare word in them is looked up;
+    an empty table gives an empty table; repeated rows and rows without an id are
+    judged one by one; other columns are not read.  Document frequencies
     are counted over all rows; the driver gets one number for each template word.
     """
     index = Index(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates)

@@ -12,7 +12,7 @@ join runs in four steps, none of which sees all pairs of a group:
    the representatives, so that frequencies count different sets.
 2. *Signatures.*  Tokens are ordered by frequency.  Rare tokens are indexed one by
    one; frequent ones in combinations of k tokens of one hash group, k growing
-   with frequency.  A group of a k-token class covers its tokens in the prefix
+   with frequency; the borders are quantiles of the frequencies of all prefixes.  A group of a k-token class covers its tokens in the prefix
    less k - 1; the prefix is extended until |x| - o + 1 tokens are covered, o
    being the least overlap of a link.  Any pair that links then shares a
    signature: fewer than that many of the prefix that ends first can miss the
@@ -23,6 +23,9 @@ join runs in four steps, none of which sees all pairs of a group:
    compared exactly, in blocks: parity bitmaps bound the overlap from above, the
    pairs of different components that pass are counted on the token sets, and
    only links that join two components come out.
+
+Tokens keep 48 bits from step 1 on.  A pair that one token more or less would
+turn into a link, or no link, is decided on the words of both texts.
 """
 
 from __future__ import annotations
@@ -43,8 +46,12 @@ from .components import connected_components
 from .scratch import Scratch, fresh
 
 U64 = np.uint64
-#: Tokens and documents of one chunk; a document's number in its chunk has 16 bits.
+#: Fewest tokens and most documents of one chunk; a document's number in its chunk has 16 bits.
 CHUNK_TOKENS, CHUNK_DOCS = 1 << 19, 1 << 15
+#: Tokens of one range, and most ranges; bytes of text for a token; bytes of text for each task that counts.
+RANGE_TOKENS, MOST_RANGES, TOKEN_BYTES, TASK_BYTES = 1 << 21, 1 << 18, 6, 128 << 20
+#: Share of all prefixes' tokens that lies above each class border, and the highest borders.
+CLASS_SHARES, CLASS_MOST = (0.1, 0.03), (4096, 65536)
 MANY = 0xFFFF
 #: Documents of one block when the rest is compared.
 BLOCK_DOCS = 1024
@@ -52,7 +59,7 @@ BLOCK_DOCS = 1024
 ENTRIES = "g long, chunk long, body binary"
 RETURNS = "chunk long, body binary"
 SETS = "doc_id long, n_shingles long, fp binary, toks binary, dfs binary"
-SIGS = "sig long, doc_id long, n_shingles long"
+SIGS = "sig long, doc_id long, n_shingles long, k long"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -142,7 +149,7 @@ def _emit(buckets: int, docs: Iterator[tuple[int, int, bytes, np.ndarray]]) -> I
     for i, n, fp, s in docs:
         ids.append(i), sizes.append(n), prints.append(fp), sets.append(s)
         held += len(s)
-        if held >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS:
+        if held >= max(CHUNK_TOKENS, 16 * buckets) or len(ids) >= CHUNK_DOCS:
             yield flush()
             ids, sizes, prints, sets, held = [], [], [], [], 0
             number += 1
@@ -224,7 +231,7 @@ def _assemble(num: int, den: int):
         order = np.lexsort((toks, docs))
         toks, dfs = toks[order], np.minimum(dfs[order], 0xFFFFFFFF).astype(np.uint32)
         at = np.concatenate([[0], np.cumsum(np.bincount(docs.astype(np.int64), minlength=len(ids)))])
-        kept = (np.diff(at) * den >= sizes * num) & (sizes > 0)
+        kept = ((np.diff(at) + 1) * den >= sizes * num) & (sizes > 0)
         return pa.table({
             "doc_id": pa.array(ids, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()),
             "fp": pa.array([prints[16 * i : 16 * i + 16] for i in range(len(ids))], pa.binary()),
@@ -235,8 +242,9 @@ def _assemble(num: int, den: int):
     return run
 
 
-def _shared_tokens(entries: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    return entries.groupBy("g").applyInArrow(_count_range(buckets), RETURNS).groupBy("chunk").applyInArrow(_assemble(num, den), SETS)
+def _shared_tokens(entries: DataFrame, buckets: int, tasks: int, num: int, den: int) -> DataFrame:
+    counted = entries.repartition(tasks, "g").groupBy("g").applyInArrow(_count_range(buckets), RETURNS)
+    return counted.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(_assemble(num, den), SETS)
 
 
 # ---------------------------------------------------------------- signatures
@@ -251,45 +259,75 @@ def _level(n: int, num: int, den: int) -> int:
     return int(math.log(n) / math.log(den / num * 1.005))
 
 
-def signatures(toks: np.ndarray, dfs: np.ndarray, n: int, num: int, den: int, classes: list[int]) -> set[int]:
-    """Signature hashes of one document.
+def _prefix(toks: np.ndarray, dfs: np.ndarray, n: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Tokens and frequencies, rarest first, and how many of them the prefix has to cover (one more, since two tokens may share 48 bits)."""
+    order = np.lexsort((toks, dfs))
+    return toks[order], dfs[order], len(toks) - least_overlap(n, num, den) + 2
+
+
+def _frequencies(num: int, den: int):
+    """Counts of prefix tokens by eighths of the binary logarithm of their document frequency."""
+
+    def run(batches):
+        counts = np.zeros(512, np.int64)
+        for b in batches:
+            for n, toks, dfs in zip(*(b.column(k).to_pylist() for k in range(3))):
+                _, d, need = _prefix(np.frombuffer(toks, U64), np.frombuffer(dfs, np.uint32), n, num, den)
+                counts += np.bincount((8 * np.log2(d[:need])).astype(np.int64), minlength=512)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(512)), pa.array(counts)], names=["step", "n"])
+
+    return run
+
+
+def class_borders(counts: np.ndarray, shares: tuple[float, ...] = CLASS_SHARES, most: tuple[int, ...] = CLASS_MOST) -> list[int]:
+    """Document frequencies above which tokens are in class 2, 3, ...: at most a share of all prefix tokens, and all above the highest border."""
+    above = np.cumsum(counts[::-1])[::-1]  # tokens at a step or beyond it
+    out: list[int] = []
+    for share, cap in zip(shares, most):
+        step = int(np.argmax(above <= share * max(above[0], 1)))
+        border = min(max(math.ceil(2 ** (step / 8)) - 1, 2), cap)
+        out.append(min(max(border, out[-1] + 1), cap) if out else border)
+    return out
+
+
+def signatures(toks: np.ndarray, dfs: np.ndarray, n: int, num: int, den: int, classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct signature hashes of one document, and how many tokens each combines.
 
     ``classes``: ascending document frequencies; a token above k of them is in
     class k + 1 and is indexed in combinations of k + 1.  A document belongs to
     its size level and the next, and the number of hash groups of a class follows
     the level, so linking documents group alike on a common level.
     """
-    order = np.lexsort((toks, dfs))
-    toks, dfs = toks[order], dfs[order]
     # Tokens that no other set has come first in the order; the prefix has them all.
-    need = len(toks) - least_overlap(n, num, den) + 1
+    toks, dfs, need = _prefix(toks, dfs, n, num, den)
     k_of = np.searchsorted(np.array(classes), dfs, "left") + 1
-    out: set[int] = set()
+    ones, singles = int(np.searchsorted(k_of, 1, "right")), 0
+    combined: dict[int, list[tuple[int, ...]]] = {}
     own = _level(n, num, den)
     for level in (own, own + 1):
         groups = int((den / num * 1.005) ** (level - 1)) // 16  # at most a 16th of the smallest size on this level
-        if not groups or (k_of[:need] == 1).all():
-            out.update(T.mix(toks[:need]).tolist())
+        if not groups or ones >= need:
+            singles = need
             continue
-        where = (T.mix(toks + U64(level)) % U64(groups)).astype(np.int64)
+        singles, covered = max(singles, ones), ones
         held: dict[tuple[int, int], list[int]] = {}
-        covered = 0
-        for t, k, w in zip(toks.tolist(), k_of.tolist(), where.tolist()):
+        where = (T.mix(toks[ones:] + U64(level)) % U64(groups)).tolist()
+        for t, k, w in zip(toks[ones:].tolist(), k_of[ones:].tolist(), where):
             if covered >= need:
                 break
-            if k == 1:
-                out.add(int(T.mix(np.array([t], U64))[0]))
-                covered += 1
-                continue
             group = held.setdefault((k, w), [])
             if len(group) >= k - 1:
                 covered += 1
-                with np.errstate(over="ignore"):
-                    for rest in combinations(group, k - 1):
-                        parts = np.array(sorted((*rest, t)), U64)
-                        out.add(int(T.mix(np.array([np.sum(T.mix(parts) * T._MULT[:k], dtype=U64) + U64(level * 8 + k)], U64))[0]))
+                combined.setdefault(k, []).extend((level * 8 + k, *sorted((*rest, t))) for rest in combinations(group, k - 1))
             group.append(t)
-    return out
+    out, ks = [T.mix(toks[:singles])], [np.ones(min(singles, len(toks)), np.int64)]
+    for k, rows in combined.items():
+        parts = np.array(rows, U64)
+        with np.errstate(over="ignore"):
+            out.append(T.mix(np.sum(T.mix(parts[:, 1:]) * T._MULT[:k], axis=1, dtype=U64) + parts[:, 0]))
+        ks.append(np.full(len(rows), k))
+    sigs, first = np.unique(np.concatenate(out), return_index=True)
+    return sigs, np.concatenate(ks)[first]
 
 
 def parity_bits(toks: np.ndarray) -> np.ndarray:
@@ -302,30 +340,83 @@ def parity_bits(toks: np.ndarray) -> np.ndarray:
 def _sign(num: int, den: int, classes: list[int]):
     def run(batches):
         for b in batches:
-            sigs, ids, sizes = [], [], []
+            sigs, ids, sizes, ks = [], [], [], []
             for i, n, toks, dfs in zip(*(b.column(k).to_pylist() for k in range(4))):
-                s = signatures(np.frombuffer(toks, U64), np.frombuffer(dfs, np.uint32), n, num, den, classes)
-                sigs.append(np.fromiter(s, U64, len(s)))
+                s, k = signatures(np.frombuffer(toks, U64), np.frombuffer(dfs, np.uint32), n, num, den, classes)
+                sigs.append(s), ks.append(k)
                 ids.append(np.full(len(s), i)), sizes.append(np.full(len(s), n))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(sizes), pa.int64())], names=["sig", "doc_id", "n_shingles"])
+                columns = [np.concatenate(sigs).view(np.int64), *(np.concatenate(x) for x in (ids, sizes, ks))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sig", "doc_id", "n_shingles", "k"])
 
     return run
 
 
+def _verdict(both, total, num: int, den: int):
+    """Whether sets of ``total`` tokens together link, and whether one common token more or less would not change that."""
+    links = lambda x: den * x >= num * (total - x)
+    return links(both), links(both - 1) == links(both + 1)
+
+
 def _verify(num: int, den: int):
     def run(batches):
         for b in batches:
-            keep = []
+            keep, sure = [], []
             for n, m, x, y in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
                 both = len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True))
-                keep.append(den * both >= num * (n + m - both))
+                link, clear = _verdict(both, n + m, num, den)
+                keep.append(link or not clear), sure.append(clear)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), pa.array(sure, pa.bool_()).filter(mask)], names=["a", "b", "sure"])
+
+    return run
+
+
+def _named(n: int):
+    """``(class, text)`` of the texts that have the fingerprint asked for."""
+
+    def run(batches):
+        for b in batches:
+            whole = pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["class", "text"])
+            at, wanted = 0, b.column(2).to_pylist()
+            for _, sets in shingle_sets([whole], n):
+                keep = [xxhash.xxh3_128_digest(s.tobytes()) == w for s, w in zip(sets, wanted[at : at + len(sets)])]
+                yield whole.slice(at, len(sets)).filter(pa.array(keep, pa.bool_()))
+                at += len(sets)
+
+    return run
+
+
+def _words(text: bytes, n: int) -> set[tuple[bytes, ...]]:
+    words = text.lower().split()  # of bytes: A-Z alone are lowered, and 0x09-0x0D and 0x20 separate
+    return {tuple(words[i : i + n]) for i in range(max(len(words) - n + 1, 1))}
+
+
+def _decide(n: int, num: int, den: int):
+    """The pairs whose texts link, by their words."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).cast(pa.binary()).to_pylist()):
+                x, y = _words(x, n), _words(y, n)
+                keep.append(den * len(x & y) >= num * len(x | y))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
 
+def _settled(pairs: DataFrame, rows: DataFrame, rep: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """``(a, b)``: the sure links, and of the others those that the texts of both classes confirm."""
+    open_ = pairs.where("not sure").select("a", "b").distinct()
+    asked = open_.select(F.col("a").alias("class")).union(open_.select("b")).distinct().join(rep, "class").select("class", "rep", "fp")
+    texts = rows.join(asked, F.col("doc_id") == F.col("rep")).select("class", "text", "fp").mapInArrow(_named(n), "class long, text string").dropDuplicates(["class"])
+    side = lambda x: texts.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}"))
+    told = open_.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_decide(n, num, den), "a long, b long")
+    return pairs.where("sure").select("a", "b").union(told)
+
+
 def _fold(bits: np.ndarray, words: int) -> np.ndarray:
     while bits.shape[1] > words:
         bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
@@ -355,7 +446,7 @@ def _screen(num: int, den: int):
                 j = near[width[near] == w]
                 small = min(w, width[i])
                 apart = np.bitwise_count(_fold(stacks[w][row[j]], small) ^ _fold(bits[i][None, :], small)).sum(1, dtype=np.int64)
-                most = (shared[i] + shared[j] - apart) // 2
+                most = (shared[i] + shared[j] - apart) // 2 + 2  # two tokens of a set may share 48 bits
                 ok = den * most >= num * (n[i] + n[j] - most)
                 hit[j[ok]] = True
                 hit[i] |= ok.any()
@@ -383,17 +474,22 @@ def _exact(num: int, den: int):
                 c = root[c]
             return c
 
-        a, b = [], []
+        a, b, sure, unsure = [], [], [], []
         for i in range(len(ids)):
             t = token[token_at[i] : token_at[i + 1]]
             both = np.bincount(np.concatenate([posts[post_at[x] : post_at[x + 1]] for x in t]), minlength=len(ids))
-            ok = (den * both >= num * (n[i] + n - both)) & (comp != comp[i])
-            for j in np.flatnonzero(ok).tolist():
+            link, clear = _verdict(both, n[i] + n, num, den)
+            apart = comp != comp[i]
+            for j in np.flatnonzero(link & clear & apart).tolist():
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y:
                     root[max(x, y)] = min(x, y)
-                    a.append(ids[i]), b.append(ids[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    a.append(ids[i]), b.append(ids[j]), sure.append(True)
+            unsure += [(i, j) for j in np.flatnonzero(~clear & apart).tolist() if i < j]
+        for i, j in unsure:
+            if find(int(comp[i])) != find(int(comp[j])):
+                a.append(ids[i]), b.append(ids[j]), sure.append(False)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sure": pa.array(sure, pa.bool_())})
 
     return run
 
@@ -404,28 +500,36 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "n_toks", "bits"])
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (3, 4), classes: tuple[int, ...] = (4096, 65536)) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: tuple[int, int] = (3, 4), classes: tuple[int, ...] | None = None, report: dict | None = None) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs``.
 
     Two documents link when the Jaccard similarity of their sets of lower-cased
     (A-Z) word n-grams is at least ``similarity``; a component is what links
     reach, named by its smallest id.  A text of fewer than ``n`` words is one
     token; a null, empty or blank text has none and links with nothing.  Rows
-    that repeat an id give a row each.  An empty table gives an empty table.
-    Other columns are not read.  ``classes`` are the document frequencies above
-    which tokens are indexed in pairs, triples and so on; they change the work,
-    never the result.  A token in fewer sets than the first fits a few blocks, and
-    costs less alone: words of one passage come together, so their pairs are as
-    frequent as they are.  A null id is treated like any other value but links nothing.
+    that repeat an id give a row each, and link what the texts of the id link; a
+    null id links nothing and has no component.  Tokens of equal frequency are
+    ordered by their hash.  An empty table gives an empty table.  Texts may have
+    any length: a task holds one document's tokens, or those of one range.  Other
+    columns are not read.
+
+    ``classes`` are the document frequencies above which tokens are indexed in
+    pairs, triples and so on; None takes them from the frequencies of all
+    prefixes (``CLASS_SHARES``).  They change the work, never the result.
+    ``report`` is given the borders and the number of signatures by their size.
+    The number of token ranges follows the bytes of text, so a range has about
+    ``RANGE_TOKENS`` tokens until there are ``MOST_RANGES`` of them.
     """
     spark = docs.sparkSession
     num, den = similarity
     scratch = Scratch(spark, "ngram-join")
-    buckets = min(4096, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks, buckets = max(parts, -(-held // TASK_BYTES)), min(MOST_RANGES, max(64, 4 * parts, held // (TOKEN_BYTES * RANGE_TOKENS)))
     unnamed, rows = rows.where("doc_id is null"), rows.where("doc_id is not null")
 
-    state = scratch.save(_shared_tokens(rows.mapInArrow(_from_texts(n, buckets), ENTRIES), buckets, num, den), "state")
+    state = scratch.save(_shared_tokens(rows.mapInArrow(_from_texts(n, buckets), ENTRIES), buckets, tasks, num, den), "state")
     near = state.where("toks is not null")
     # A class is a node by its smallest id, or by a hash of its fingerprint if that id stands for several classes.
     rep = near.groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -434,9 +538,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     rep = scratch.save(rep.join(first, "rep").select("fp", "rep", node.alias("class")), "rep")
     # One set of each class; rows of an id with one text hold the same set.
     firsts = near.join(rep.withColumnRenamed("fp", "rep_fp"), (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("rep_fp"))).select(F.col("class").alias("doc_id"), "n_shingles", "fp", "toks")
-    sets = scratch.save(_shared_tokens(firsts.mapInArrow(_from_sets(buckets), ENTRIES), buckets, num, den).where("toks is not null").drop("fp").dropDuplicates(["doc_id"]), "sets")
+    sets = scratch.save(_shared_tokens(firsts.mapInArrow(_from_sets(buckets), ENTRIES), buckets, tasks, num, den).where("toks is not null").drop("fp").dropDuplicates(["doc_id"]), "sets")
 
+    if classes is None:
+        counts = np.zeros(512, np.int64)
+        for r in sets.select("n_shingles", "toks", "dfs").mapInArrow(_frequencies(num, den), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
+            counts[r["step"]] = r["n"]
+        classes = class_borders(counts)
     sigs = scratch.save(sets.select("doc_id", "n_shingles", "toks", "dfs").mapInArrow(_sign(num, den, list(classes)), SIGS), "sigs")
+    if report is not None:
+        report.update(classes=list(classes), signatures={r["k"]: r["n"] for r in sigs.groupBy("k").agg(F.count("*").alias("n")).collect()})
     lead = sigs.groupBy("sig").agg(F.min(F.struct("doc_id", "n_shingles")).alias("lead"), F.max("doc_id").alias("last")).where("lead.doc_id < last")
     pairs = (
         sigs.join(lead, "sig").where(F.col("doc_id") != F.col("lead.doc_id"))
@@ -446,15 +557,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     left = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("toks").alias("toks_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("toks").alias("toks_b"))
     compared = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "toks_a", "toks_b")
-    stars = scratch.save(compared.mapInArrow(_verify(num, den), "a long, b long"), "stars")
+    found = scratch.save(compared.mapInArrow(_verify(num, den), "a long, b long, sure boolean"), "found")
+    stars = scratch.save(_settled(found, rows, rep, n, num, den), "stars")
     comp = connected_components(stars, scratch, "first")
 
     rest = scratch.save(_rest(sigs, sets, comp, num, den), "rest")
+    rest = scratch.save(_settled(rest, rows, rep, n, num, den), "settled")
     same = rep.where(F.col("class") != F.col("rep")).select(F.col("rep").alias("a"), F.col("class").alias("b"))  # classes of one id
     final = connected_components(stars.union(rest).union(same), scratch, "last")
     names = final.join(rep, F.col("node") == F.col("class")).groupBy("comp").agg(F.min("rep").alias("name"))
     final = final.join(names, "comp").select(F.col("node").alias("class"), F.col("name").alias("comp"))
-    scratch.drop("sigs", "sets", "stars", "rest")
+    scratch.drop("sigs", "sets", "found", "stars", "rest", "settled")
 
     named = state.select("doc_id", "n_shingles", F.when(F.col("toks").isNotNull(), F.col("fp")).alias("fp")).join(rep, "fp", "left").join(final, "class", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
@@ -490,11 +603,20 @@ def _rest(sigs: DataFrame, sets: DataFrame, comp: DataFrame, num: int, den: int)
     placed = member.join(wide, "sig").select("sig", "doc_id", "comp", F.explode(F.when(is_main, main_in).otherwise(F.concat(against, between))).alias("p")).select("sig", "doc_id", "comp", "p.part", "p.side")
     bits = placed.select("doc_id").distinct().join(sets, "doc_id").select("doc_id", "n_shingles", "toks").mapInArrow(_bits, "doc_id long, n_shingles long, n_toks long, bits binary")
     hits = placed.join(bits, "doc_id").groupBy("sig", "part").applyInArrow(_screen(num, den), "sig long, part long, doc_id long, comp long")
-    return hits.join(sets.select("doc_id", "n_shingles", "toks"), "doc_id").groupBy("sig", "part").applyInArrow(_exact(num, den), "a long, b long")
+    return hits.join(sets.select("doc_id", "n_shingles", "toks"), "doc_id").groupBy("sig", "part").applyInArrow(_exact(num, den), "a long, b long, sure boolean")
 
 
-def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, and those without an id; all columns stay."""
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, and those without an id; all columns stay.
+
+    Null, empty and blank texts link with nothing and stay; of rows that repeat
+    an id and its text one stays, whichever; different texts of an id that stays
+    do; an empty table gives an empty table.
+    """
     (kept,) = fresh(docs, "kept_id")
-    named = ngram_jaccard_components(docs, id_col, **how).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(named, F.col(id_col).cast("long") == F.col(kept), "left_semi"))
+    scratch = Scratch(docs.sparkSession, "representatives")
+    named = ngram_jaccard_components(docs, id_col, text_col, **how).where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias("n"))
+    named = scratch.save(named, "named")
+    of = lambda which: docs.join(named.where(which).select(kept), F.col(id_col).cast("long") == F.col(kept), "left_semi")
+    out = docs.where(F.col(id_col).cast("long").isNull()).unionByName(of("n = 1"))
+    return out if named.where("n > 1").isEmpty() else out.unionByName(of("n > 1").dropDuplicates([id_col, text_col]))

@@ -81,9 +81,11 @@ def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` and the
     characters in duplicated n-grams and lines; ``base_failed``: fewer than
     ``least_words`` words or over 20 % of words in repeated 5-word windows;
-    ``kept``: not ``base_failed`` and no coverage over its limit.  Null, empty
-    and blank texts count nothing and fail; an empty table gives an empty table;
-    repeated rows are judged one by one; other columns are not read.
+    ``kept``: not ``base_failed`` and no coverage over its limit; a coverage at
+    its limit is kept.  Null, empty and blank texts count nothing and fail; texts
+    of any length are counted whole, one block of them or one longer text at a
+    time; an empty table gives an empty table; repeated rows and rows without an
+    id are judged one by one; other columns are not read.
     """
     limits = MOST_COVERED if most_covered is None else most_covered
     lengths = tuple(sorted({5, *limits}))
@@ -106,7 +108,11 @@ def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of ``docs`` that ``quality_metrics`` keeps, with all their columns, in one scan."""
+    """The rows of ``docs`` that ``quality_metrics`` keeps, with all their columns, in one scan.
+
+    Null, empty and blank texts go; rows that repeat an id, or have none, are
+    judged one by one; an empty table gives an empty table.
+    """
     columns = limits.pop("most_covered", None) or MOST_COVERED
     most_lines, least_words = limits.pop("most_lines", MOST_LINES), limits.pop("least_words", LEAST_WORDS)
     lengths, place = tuple(sorted({5, *columns})), docs.columns.index(text_col)

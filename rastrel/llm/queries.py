@@ -22,22 +22,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies: five words, similarity 0.75 or more.  Odd rows as in ``ngram_jaccard_components``."""
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, read back from wavelet matrix files.  Odd rows as in ``write_tokens``."""
     return read_tokens(*write_tokens(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)).drop("shard")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page.  Odd rows as in ``url_verdicts``."""
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated line runs.  Odd rows as in ``dedup_lines``."""
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document.  Odd rows as in ``secret_spans``."""
     found = secret_spans(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == k)).cast("long")
@@ -45,23 +50,28 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of every document at 0.9 of the largest entropy, four at most.  Odd rows as in ``mix_sources``."""
     return mix_sources(_table(spark, sf_dir, "documents"), target_entropy=0.9, most_repeats=4.0)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document.  Odd rows as in ``contamination``."""
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document.  Odd rows as in ``toxicity_scores``."""
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document.  Odd rows as in ``license_scan``."""
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition counts and verdict of every document.  Odd rows as in ``quality_metrics``."""
     return quality_metrics(_table(spark, sf_dir, "documents"))
 
 

@@ -134,8 +134,9 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     ``#`` or the end; both empty for a null URL or one without ``://``.  Of the
     host rules that fit the longest wins (the first of equals) and is named by
     ``rule``; with none, the first glob that fits decides, else ``default``.
-    An empty table gives an empty table; repeated rows are judged one by one;
-    other columns are not read.
+    URLs of any length are read whole; an empty table gives an empty table;
+    repeated rows and rows without an id are judged one by one; other columns are
+    not read.
     """
     rules, globs = RULES if rules is None else rules, GLOBS if globs is None else globs
     names = [host + path for _, host, path in rules]
