@@ -114,8 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.least(F.max(F.col(label_col).cast("int")), F.lit(1)).alias("y"))
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
     # Rows of one id become one before they count: repeated ids neither weigh more nor enlarge the sample.
-    texts = texts.join(named, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    told = texts.select("text", "y").mapInArrow(_class_counts, "slot long, none long, toxic long").groupBy("slot").agg(F.sum("none").alias("none"), F.sum("toxic").alias("toxic")).toPandas()
+    of = lambda ids: texts.join(ids, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y")
+    told = of(named).mapInArrow(_class_counts, "slot long, none long, toxic long").groupBy("slot").agg(F.sum("none").alias("none"), F.sum("toxic").alias("toxic")).toPandas()
     rows = told.loc[told.slot < 0, ["none", "toxic"]].sum().to_numpy(float)
     counts, told = np.zeros((2, SLOTS)), told[told.slot >= 0]
     counts[0, told.slot], counts[1, told.slot] = told.none, told.toxic
@@ -130,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keep = np.zeros(SLOTS, bool)
     keep[np.argsort(-telling, kind="stable")[:most_features]] = True
     keep &= telling > 0
-    chosen = named.orderBy(F.xxhash64("_id"), "_id").limit(most_rows).select("_id")  # so bounded, it may be broadcast
-    sample = scratch.save(texts.join(F.broadcast(chosen), "_id").select("text", "y"), "sample")
+    chosen = named.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)  # so bounded, it may be broadcast
+    sample = scratch.save(of(F.broadcast(chosen)), "sample")
     got = sample.mapInArrow(_design(keep), "y int, slots binary").collect()
     return fit_weights(np.array([r["y"] for r in got]), [np.frombuffer(r["slots"], np.int32) for r in got], ratio)
 
