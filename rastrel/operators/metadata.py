@@ -53,8 +53,12 @@ def write_order(cycles: DataFrame, reference: int) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, key: str, *fields: str) -> DataFrame:
-    """One hash over a key's fields in a fixed order, equal if and only if the inputs are."""
-    item = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("null")) for f in fields])
+    """One hash over a key's rows, whatever their order: equal if and only if the rows are.
+
+    A row is its fields as JSON, in the order given, so that no text can stand
+    for two fields and no name for a missing one.
+    """
+    item = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     return rows.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(item)), "\n"), 256).alias("fingerprint"), F.count("*").alias("n"))
 
 

@@ -37,7 +37,7 @@ CTES = {
     "edges": "select case when ax = 0 then 'x' else 'y' end as axis, gy * 6 + gx as src, gy * 6 + gx + case when ax = 0 then 1 else 6 end as dst, cast(case when ax = 0 then s % 7 - 3 else 90 + s % 9 end as double) as dy, cast(case when ax = 0 then 90 + s % 9 else s % 5 - 2 end as double) as dx, cast(s % 40 as double) as overlap, 1e0 - (s % 16) / 1e2 as score, s % 11 = 0 as fallback, s % 7 = 0 as unmasked, s % 1000 as fg_px, (s % 100) / 1e2 as fg_frac from e0 where (ax = 0 and gx < 5) or (ax = 1 and gy < 4)",
     "we": "select *, greatest(overlap, 1e0) * (0.25e0 + 0.75e0 * greatest(least((score + 1e0) / 2e0, 1e0), 0e0)) * case when score < -0.5e0 then 0.1e0 else 1e0 end * case when unmasked then 0.85e0 else 1e0 end * case when fallback then 0.05e0 else 1e0 end as w from edges",
     "links": "select src, dst, dy, dx, w from we union all select dst, src, -dy, -dx, w from we",
-    "et": "select tile, island, y0, x0, y0 + 5e0 as cy, x0 + 5e0 as cx, cast(c % 41 - 20 as double) as dy, cast(c % 31 - 15 as double) as dx, (c % 50) / 1e2 as gain, case when c % 4 = 0 then 'accepted' when c % 4 = 1 then 'stable_zero' else 'borrowed' end as state from (select cast(s_suppkey as bigint) as tile, cast(s_nationkey % 3 as bigint) as island, cast(s_suppkey // 10 * 10 as bigint) as y0, cast(s_suppkey % 10 * 10 as bigint) as x0, cast(floor(abs(s_acctbal) * 100) as bigint) as c from supplier where s_suppkey < 100)",
+    "et": "select tile, island, y0, x0, y0 + 5e0 as cy, x0 + 5e0 as cx, cast(c % 41 - 20 as double) as dy, cast(c % 31 - 15 as double) as dx, (c % 50) / 1e2 as gain, case when c % 4 = 0 then 'accepted' when c % 4 = 1 then 'stable_zero' else 'borrowed' end as state from (select cast(s_suppkey as bigint) as tile, cast(s_nationkey % 3 as bigint) as island, cast(s_suppkey // 10 * 10 as bigint) as y0, cast(s_suppkey % 10 * 10 as bigint) as x0, cast(floor(abs(s_acctbal) * 100) as bigint) as c from supplier)",
     "seeds": "select tile as st, island, cy as sy, cx as sx, case when state = 'accepted' then dy else 0e0 end as sdy, case when state = 'accepted' then dx else 0e0 end as sdx, gain, state from et where state in ('accepted', 'stable_zero')",
 }
 #: What each derived table is made from.
@@ -592,11 +592,11 @@ def _lines(spark, d):
     return rows.agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")])
 
 
-CHANNELS = f"select l_orderkey as sample, cast(l_linenumber as bigint) as cycle, cast(c as bigint) as channel, case when c = 0 then 'DAPI' else l_returnflag end as name, l_linestatus as label from {LI}, range(2) t(c) where l_orderkey < 500"
+CHANNELS = f"select l_orderkey as sample, cast(l_linenumber as bigint) as cycle, cast(c as bigint) as channel, case when c = 0 then 'DAPI' else l_returnflag end as name, l_linestatus as label from {LI}, range(2) t(c)"
 
 
 def _channels(spark, d):
-    rows = _lines(spark, d).where("l_orderkey < 500")
+    rows = _lines(spark, d)
     c = F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("channel")
     return rows.select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").cast("long").alias("cycle"), c, "l_returnflag", F.col("l_linestatus").alias("label")).withColumn("name", F.when(F.col("channel") == 0, "DAPI").otherwise(F.col("l_returnflag"))).drop("l_returnflag")
 
@@ -607,21 +607,21 @@ def channel_layout(spark, d):
     return M.channel_layout(_channels(spark, d).distinct())
 
 
-@query("select sample, cycle, row_number() over (partition by sample order by case when cycle = 3 then 0 else 1 end, cycle) as ord from (select distinct l_orderkey as sample, cast(l_linenumber as bigint) as cycle from lineitem where l_orderkey < 500)")
+@query("select sample, cycle, row_number() over (partition by sample order by case when cycle = 3 then 0 else 1 end, cycle) as ord from (select distinct l_orderkey as sample, cast(l_linenumber as bigint) as cycle from lineitem)")
 def write_order(spark, d):
     return M.write_order(_channels(spark, d).select("sample", "cycle").distinct(), 3)
 
 
-@query("select l_orderkey as sample, sha256(string_agg(item, chr(10) order by item)) as fingerprint, count(*) as n from (select l_orderkey, l_partkey || '|' || l_linenumber || '|' || l_returnflag as item from lineitem where l_orderkey < 500) group by 1")
+@query("select l_orderkey as sample, sha256(string_agg(item, chr(10) order by item)) as fingerprint, count(*) as n from (select l_orderkey, cast(to_json(struct_pack(l_partkey := l_partkey, l_linenumber := l_linenumber, l_returnflag := l_returnflag)) as varchar) as item from lineitem) group by 1")
 def fingerprint(spark, d):
-    return M.fingerprint(I.table(spark, d, "lineitem").where("l_orderkey < 500").withColumnRenamed("l_orderkey", "sample"), "sample", "l_partkey", "l_linenumber", "l_returnflag")
+    return M.fingerprint(I.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "sample"), "sample", "l_partkey", "l_linenumber", "l_returnflag")
 
 
-PLAN_SQL = f"select l_orderkey as sample, list(l_linenumber % 4 order by l_linenumber) as cycles, list(l_shipdate_ order by l_linenumber) as files, list(l_returnflag order by l_linenumber) as markers, list(l_linestatus = 'O' order by l_linenumber) as enabled from (select *, 'f' || l_partkey as l_shipdate_ from {LI} where l_orderkey < 500) group by 1"
+PLAN_SQL = f"select l_orderkey as sample, list(l_linenumber % 4 order by l_linenumber) as cycles, list(l_shipdate_ order by l_linenumber) as files, list(l_returnflag order by l_linenumber) as markers, list(l_linestatus = 'O' order by l_linenumber) as enabled from (select *, 'f' || l_partkey as l_shipdate_ from {LI}) group by 1"
 
 
 def _plan(spark, d):
-    rows = _lines(spark, d).where("l_orderkey < 500").select(F.col("l_orderkey").alias("sample"), F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("r"))
+    rows = _lines(spark, d).select(F.col("l_orderkey").alias("sample"), F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").alias("r"))
     got = rows.groupBy("sample").agg(F.sort_array(F.collect_list("r")).alias("r"))
     pick = lambda f: F.transform("r", f)
     return got.select("sample", pick(lambda r: (r["l_linenumber"] % 4).cast("long")).alias("cycles"), pick(lambda r: F.concat(F.lit("f"), r["l_partkey"].cast("string"))).alias("files"), pick(lambda r: r["l_returnflag"]).alias("markers"), pick(lambda r: r["l_linestatus"] == "O").alias("enabled"))
@@ -641,11 +641,11 @@ def plan_duplicates(spark, d):
 
 
 @query(f"""with f as ({FLAT}), c as (select sample, count(*) as n_cycles, count(*) - count(distinct cycle) as n_dup, count(*) filter (marker = 'N') as n_un from f group by 1)
-select o.sample, case when o.sample % 17 = 0 then 'no output path' when coalesce(n_cycles, 0) = 0 then 'no enabled cycles' when n_dup > 0 then 'duplicate cycle numbers' when n_un > 0 then 'no registration marker' end as problem from (select distinct l_orderkey as sample from lineitem where l_orderkey < 500) o left join c on c.sample = o.sample""")
+select o.sample, case when o.sample % 17 = 0 then 'no output path' when coalesce(n_cycles, 0) = 0 then 'no enabled cycles' when n_dup > 0 then 'duplicate cycle numbers' when n_un > 0 then 'no registration marker' end as problem from (select distinct l_orderkey as sample from lineitem) o left join c on c.sample = o.sample""")
 def plan_readiness(spark, d):
     flat = M.explode_plan(_plan(spark, d))
     counts = flat.groupBy("sample").agg(F.count("*").alias("n_cycles"), (F.count("*") - F.countDistinct("cycle")).alias("n_duplicates"), F.count_if(F.col("marker") == "N").alias("n_unmarked"))
-    every = I.table(spark, d, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("sample")).distinct()
+    every = I.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample")).distinct()
     rows = every.join(counts, "sample", "left").na.fill(0).withColumn("output", F.when(F.col("sample") % 17 == 0, " ").otherwise("out"))
     return M.readiness(rows)
 

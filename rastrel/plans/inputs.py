@@ -70,7 +70,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def elastic_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registration tiles on a grid of suppliers."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 100")
+    s = table(spark, sf_dir, "supplier")
     cents = F.floor(F.abs("s_acctbal") * 100).cast("long")
     state = F.when(F.col("c") % 4 == 0, "accepted").when(F.col("c") % 4 == 1, "stable_zero").otherwise("borrowed")
     rows = s.select(F.col("s_suppkey").alias("tile"), (F.col("s_nationkey") % 3).cast("long").alias("island"), F.expr("s_suppkey div 10 * 10").alias("y0"), F.expr("s_suppkey % 10 * 10").alias("x0"), cents.alias("c"))

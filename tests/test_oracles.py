@@ -2,7 +2,7 @@
 
 import pytest
 
-from rastrel.plans.catalog import ORACLES, QUERIES
+from rastrel.plans.registered import ORACLES, QUERIES
 
 from .conftest import DATA, rows
 
