@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
+from .islands import numbered
+from .neighbourhood import CROSS, erode
 
 
 def difference(base: DataFrame, edited: DataFrame) -> DataFrame:
@@ -59,7 +61,8 @@ def split_parts(labels: DataFrame, height: int, width: int, touched: DataFrame |
     own = Window.partitionBy("label")
     ranked = size.withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "part"))).withColumn("all", F.sum("n").over(own))
     fresh = (F.col("rank") > 1) & (F.col("n") >= F.greatest(F.lit(float(least)), F.col("all") * share))
-    made = ranked.where(fresh).select("label", "part", (F.lit(top) + F.row_number().over(Window.orderBy("label", "rank"))).cast("long").alias("new"))  # one row for each new id
+    keyed = ranked.where(fresh).select("label", "part", F.struct("label", "rank").alias("key"))
+    made = keyed.join(numbered(keyed, "key"), "key").select("label", "part", (F.lit(top) + F.col("number")).cast("long").alias("new"))
     out = parts.join(made, ["label", "part"], "left").select("y", "x", F.coalesce("new", "label").alias("label"))
     if touched is None:
         return out
@@ -77,6 +80,28 @@ def split_by_line(labels: DataFrame, line: DataFrame, height: int, width: int, l
     return parts.unionByName(back)
 
 
+def erase_and_split(labels: DataFrame, shape: DataFrame, height: int, width: int) -> DataFrame:
+    """Erase a shape; labels that it touched and that fell apart are split into their parts, whatever their size."""
+    touched = labels.join(shape.select("y", "x"), ["y", "x"], "left_semi").select("label").distinct()
+    return split_parts(erase(labels, shape), height, width, touched)
+
+
+def erode_and_split(labels: DataFrame, label: int, times: int, height: int, width: int) -> DataFrame:
+    """Erode one label ``times`` times by its four neighbours, then split it into the parts that are left."""
+    own = labels.where(F.col("label") == label).select("y", "x")
+    for _ in range(times):
+        own = erode(own, CROSS, height, width)
+    rest = labels.where(F.col("label") != label).select("y", "x", "label")
+    changed = rest.unionByName(own.withColumn("label", F.lit(label).cast("long")))
+    return split_parts(changed, height, width, labels.where(F.col("label") == label).select("label").distinct())
+
+
+def apply_changes(base: DataFrame, changes: DataFrame) -> DataFrame:
+    """A snapshot with changed pixels ``(y, x, new)``; 0 clears a pixel.  ``difference`` of the two gives the changes back."""
+    kept = base.join(changes.select("y", "x"), ["y", "x"], "left_anti").select("y", "x", "label")
+    return kept.unionByName(changes.where("new > 0").select("y", "x", F.col("new").alias("label")))
+
+
 def model_needs(base: DataFrame, edited: DataFrame) -> DataFrame:
     """Which follow-up models an edit asks for: existing labels changed, or new labels appeared."""
     old = base.select("label").distinct().withColumn("known", F.lit(True))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Steps
+from .islands import numbered
 from .neighbourhood import spread
 
 
@@ -31,10 +32,8 @@ def components(mask: DataFrame, height: int, width: int, diagonal: bool = False)
 
 
 def relabel(labels: DataFrame) -> DataFrame:
-    """Labels 1..N in the order of the old ones; numbers are given to distinct labels, not to pixels."""
-    distinct = labels.select("label").distinct()
-    numbered = distinct.select("label", F.row_number().over(Window.orderBy("label")).cast("long").alias("new"))
-    return labels.join(numbered, "label").drop("label").withColumnRenamed("new", "label")
+    """Labels 1..N in the order of the old ones; numbers are given to distinct labels, range by range, not to pixels."""
+    return labels.join(numbered(labels, "label"), "label").drop("label").withColumnRenamed("number", "label")
 
 
 def drop_small(labels: DataFrame, least: int) -> DataFrame:
@@ -53,13 +52,6 @@ def voting(edges: DataFrame) -> DataFrame:
     return edges.where("not fallback and not isnan(dy) and not isnan(dx) and overlap > 0 and score >= 0.9 and fg_px >= 100 and fg_frac >= 0.02")
 
 
-def seed_tile(tiles: DataFrame, edges: DataFrame) -> DataFrame:
-    """The best connected tile: most votes, then weight, then the smallest place."""
-    rank = both_ways(edges).groupBy(F.col("src").alias("tile")).agg(F.count("*").alias("degree"), F.round(F.sum("w"), 6).alias("support"))
-    all_ = tiles.join(rank, "tile", "left").select("tile", "gy", "gx", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"), F.coalesce("support", F.lit(0.0)).alias("support"))
-    return all_.agg(F.max_by(F.struct("tile", "degree", "support"), F.struct("degree", "support", -F.col("gy"), -F.col("gx"))).alias("b")).select("b.*")
-
-
 def relax(positions: DataFrame, edges: DataFrame, seed: int, rounds: int = 8, damping: float = 0.7, outlier: float = 12.0) -> DataFrame:
     """Jacobi sweeps: each tile moves towards the weighted mean of where its neighbours put it.
 

@@ -472,11 +472,6 @@ def _tiles(spark):
     return spark.range(30).select(F.col("id").alias("tile"), F.expr("id div 6").alias("gy"), F.expr("id % 6").alias("gx"))
 
 
-@query(sql(", r as (select src as tile, count(*) as degree, round(sum(w), 6) as support from links group by 1) select tile, degree, support from (select t.tile, coalesce(degree, 0) as degree, coalesce(support, 0e0) as support, row_number() over (order by coalesce(degree, 0) desc, coalesce(support, 0e0) desc, t.tile) as k from range(30) t(tile) left join r on r.tile = t.tile) where k = 1", "links"))
-def seed_tile(spark, d):
-    return GR.seed_tile(_tiles(spark), _weighted(spark, d))
-
-
 @query(sql("select axis, round(coalesce(quantile_cont(dy, 0.5e0) filter (not fallback), quantile_cont(dy, 0.5e0)), 6) as dy, round(coalesce(quantile_cont(dx, 0.5e0) filter (not fallback), quantile_cont(dx, 0.5e0)), 6) as dx from edges group by 1", "edges"))
 def nominal_steps(spark, d):
     return MO.nominal_steps(I.edges(spark, d)).withColumns({c: F.round(c, 6) for c in ("dy", "dx")})

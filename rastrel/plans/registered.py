@@ -1,4 +1,4 @@
 """All registered queries of the raster operators, and their SQL."""
 
-from . import discovery, pyramids  # noqa: F401  (they register their queries)
+from . import discovery, pyramids, stitching  # noqa: F401  (they register their queries)
 from .catalog import ORACLES, QUERIES  # noqa: F401
