@@ -31,8 +31,9 @@ CTES = {
     "px2": "select l_linestatus as cycle, l_returnflag as channel, cast(l_orderkey % 48 as bigint) as y, cast(l_partkey % 64 as bigint) as x, cast(sum(cast(l_quantity as bigint)) * 37 % 65536 as bigint) as v from lineitem group by 1, 2, 3, 4",
     "fg": "select y, x, v from px where v > (select quantile_cont(v, 0.7e0) from px)",
     "cells": "select y, x, (y // 8) * 8 + x // 8 + 1 as label from fg",
-    "k": "select cast(s_suppkey as bigint) as k, 6 + 12 * (s_suppkey // 5) as cy, 6 + 13 * (s_suppkey % 5) as cx, 3 + s_suppkey % 3 as r from supplier where s_suppkey between 0 and 19",
-    "discs": "select g.y, h.x, min(k) + 1 as label, min(k) * 100 + 20000 as v from k, range(48) g(y), range(64) h(x) where (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r group by 1, 2",
+    "k": "select cast(s_suppkey as bigint) as k, 6 + 12 * (s_suppkey // 5) as cy, 6 + 13 * (s_suppkey % 5) as cx, 3 + s_suppkey % 3 as r from supplier",
+    "hd": "select max(k) // 5 * 12 + 12 as hd from k",
+    "discs": "select y, x, min(k) + 1 as label, min(k) * 100 + 20000 as v from (select k, cy, cx, r, y, unnest(range(cx - r, cx + r + 1)) as x from (select *, unnest(range(cy - r, cy + r + 1)) as y from k)) where (y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r group by 1, 2",
     "e0": "select o_custkey % 6 as gx, o_orderkey % 5 as gy, o_orderkey % 2 as ax, cast(sum(cast(floor(o_totalprice) as bigint)) as bigint) as s from orders group by 1, 2, 3",
     "edges": "select case when ax = 0 then 'x' else 'y' end as axis, gy * 6 + gx as src, gy * 6 + gx + case when ax = 0 then 1 else 6 end as dst, cast(case when ax = 0 then s % 7 - 3 else 90 + s % 9 end as double) as dy, cast(case when ax = 0 then 90 + s % 9 else s % 5 - 2 end as double) as dx, cast(s % 40 as double) as overlap, 1e0 - (s % 16) / 1e2 as score, s % 11 = 0 as fallback, s % 7 = 0 as unmasked, s % 1000 as fg_px, (s % 100) / 1e2 as fg_frac from e0 where (ax = 0 and gx < 5) or (ax = 1 and gy < 4)",
     "we": "select *, greatest(overlap, 1e0) * (0.25e0 + 0.75e0 * greatest(least((score + 1e0) / 2e0, 1e0), 0e0)) * case when score < -0.5e0 then 0.1e0 else 1e0 end * case when unmasked then 0.85e0 else 1e0 end * case when fallback then 0.05e0 else 1e0 end as w from edges",
@@ -41,7 +42,7 @@ CTES = {
     "seeds": "select tile as st, island, cy as sy, cx as sx, case when state = 'accepted' then dy else 0e0 end as sdy, case when state = 'accepted' then dx else 0e0 end as sdx, gain, state from et where state in ('accepted', 'stable_zero')",
 }
 #: What each derived table is made from.
-NEEDS = {"fg": ["px"], "cells": ["px", "fg"], "discs": ["k"], "edges": ["e0"], "we": ["e0", "edges"], "links": ["e0", "edges", "we"], "seeds": ["et"]}
+NEEDS = {"fg": ["px"], "cells": ["px", "fg"], "discs": ["k"], "hd": ["k"], "edges": ["e0"], "we": ["e0", "edges"], "links": ["e0", "edges", "we"], "seeds": ["et"]}
 
 
 def sql(body: str, *ctes: str, recursive: bool = False) -> str:
@@ -144,9 +145,9 @@ def shift_bilinear(spark, d):
     return G.shift_bilinear(I.px(spark, d), 1.5, -0.25, H, W).withColumn("v", F.round("v", 6))
 
 
-@query(sql("select greatest(min(y) - 2, 0) as y0, least(max(y) + 3, 48) as y1, greatest(min(x) - 2, 0) as x0, least(max(x) + 3, 64) as x1 from discs", "discs"))
+@query(sql("select greatest(min(y) - 2, 0) as y0, least(max(y) + 3, (select hd from hd)) as y1, greatest(min(x) - 2, 0) as x0, least(max(x) + 3, 64) as x1 from discs", "discs", "hd"))
 def bbox_mask(spark, d):
-    return G.bounding_box(I.discs(spark, d), H, W, 2)
+    return G.bounding_box(I.discs(spark, d), I.disc_height(spark, d), W, 2)
 
 
 FIELD = "select y, x, case when n_nationkey is null then 1.5e0 else (n_nationkey * 7) % 11 - 5e0 end as dy, case when n_nationkey is null then -2e0 else (n_nationkey * 5) % 9 - 4e0 end as dx from (select y, x, (y // 8) * 8 + x // 8 as label from px) t left join nation on n_nationkey = label"
@@ -265,11 +266,11 @@ def fg_fraction_by_tile(spark, d):
     return I.px(spark, d).groupBy(F.expr("y div 16").alias("ty"), F.expr("x div 16").alias("tx")).agg(F.round(F.avg((F.col("v") > 20000).cast("double")), 9).alias("frac"))
 
 
-@query(sql("select cy, cx, frac from (select p.y // 4 as cy, p.x // 4 as cx, round(avg(case when f.v is null then 0e0 else 1e0 end), 9) as frac from px p left join fg f on p.y = f.y and p.x = f.x group by 1, 2) where frac > 0.25e0", "fg"))
+@query(sql("select cy, cx, frac from (select p.y // 4 as cy, p.x // 4 as cx, round(avg(case when f.v is null then 0e0 else 1e0 end), 9) as frac from px p left join fg f on p.y = f.y and p.x = f.x group by 1, 2) where frac > 0.005e0", "fg"))
 def active_cells(spark, d):
     limit = I.px(spark, d).agg(F.percentile("v", F.lit(0.7)).alias("limit"))
     rows = I.px(spark, d).crossJoin(F.broadcast(limit))  # one row
-    return rows.groupBy(F.expr("y div 4").alias("cy"), F.expr("x div 4").alias("cx")).agg(F.round(F.avg((F.col("v") > F.col("limit")).cast("double")), 9).alias("frac")).where("frac > 0.25")
+    return rows.groupBy(F.expr("y div 4").alias("cy"), F.expr("x div 4").alias("cx")).agg(F.round(F.avg((F.col("v") > F.col("limit")).cast("double")), 9).alias("frac")).where("frac > 0.005")
 
 
 PAIRS = "(select f.y, f.x, f.v as a, g.v as b from px2 f join px2 g on f.y = g.y and f.x = g.x where f.cycle = 'F' and f.channel = 'A' and g.cycle = 'O' and g.channel = 'N')"
@@ -399,7 +400,7 @@ def dilate(spark, d):
 
 @query(sql(f"select y + a as y, x + b as x from discs, {OFF} group by 1, 2 having count(*) = 5", "discs"))
 def erode(spark, d):
-    return N.erode(I.discs(spark, d), N.CROSS, H, W)
+    return N.erode(I.discs(spark, d), N.CROSS, I.disc_height(spark, d), W)
 
 
 @query(sql(f""", e as (select y + a as y, x + b as x from fg, {OFF} group by 1, 2 having count(*) = 5), o as (select distinct y + a as y, x + b as x from e, {OFF} where y + a between 0 and 47 and x + b between 0 and 63),
@@ -408,9 +409,9 @@ def open_close(spark, d):
     return N.closed(N.opened(I.foreground(spark, d), N.CROSS, H, W), N.CROSS, H, W)
 
 
-@query(sql("select p.y, p.x, p.label from discs p where exists (select 1 from (values (-1, 0), (1, 0), (0, -1), (0, 1)) o(a, b) left join discs q on q.y = p.y + a and q.x = p.x + b where p.y + a between 0 and 47 and p.x + b between 0 and 63 and (q.label is null or q.label <> p.label))", "discs"))
+@query(sql("select p.y, p.x, p.label from discs p where exists (select 1 from (values (-1, 0), (1, 0), (0, -1), (0, 1)) o(a, b) left join discs q on q.y = p.y + a and q.x = p.x + b where p.y + a >= 0 and p.y + a < (select hd from hd) and p.x + b between 0 and 63 and (q.label is null or q.label <> p.label))", "discs", "hd"))
 def inner_boundary(spark, d):
-    return N.inner_boundary(I.discs(spark, d).select("y", "x", "label"), H, W)
+    return N.inner_boundary(I.discs(spark, d).select("y", "x", "label"), I.disc_height(spark, d), W)
 
 
 @query(sql("select p.y, p.x, max(q.v) as vmax from px p join px q on abs(p.y - q.y) <= 3 and abs(p.x - q.x) <= 3 group by 1, 2", "px"))
@@ -423,9 +424,9 @@ def local_peaks(spark, d):
     return N.local_peaks(I.px(spark, d), 2, H, W)
 
 
-@query(sql(", bg as (select g.y, h.x from range(48) g(y), range(64) h(x) where not exists (select 1 from discs d where d.y = g.y and d.x = h.x)) select d.y, d.x, min((d.y - b.y) * (d.y - b.y) + (d.x - b.x) * (d.x - b.x)) as d2 from discs d, bg b group by 1, 2", "discs"))
+@query(sql(", bg as (select g.y, h.x from (select unnest(range(cast(hd as bigint))) as y from hd) g, range(64) h(x) where not exists (select 1 from discs d where d.y = g.y and d.x = h.x)) select d.y, d.x, min((d.y - b.y) * (d.y - b.y) + (d.x - b.x) * (d.x - b.x)) as d2 from discs d join bg b on abs(d.y - b.y) <= 12 group by 1, 2", "discs", "hd"))
 def distance_sq(spark, d):
-    return N.distance_squared(I.discs(spark, d), H, W, 10)
+    return N.distance_squared(I.discs(spark, d), I.disc_height(spark, d), W, 10)
 
 
 # ---------------------------------------------------------------- graphs
@@ -765,7 +766,7 @@ def split_label(spark, d):
 
 @query()
 def split_by_line(spark, d):
-    return E.split_by_line(I.discs(spark, d).select("y", "x", "label"), G.draw_polyline(spark, [(6, 0), (6, 63)]), H, W, least=3)
+    return E.split_by_line(I.discs(spark, d).select("y", "x", "label"), G.draw_polyline(spark, [(6, 0), (6, 63)]), I.disc_height(spark, d), W, least=3)
 
 
 @query(sql(f"select count(*) > 0 as changed, (select count(*) > 0 from {EDITED} where label not in (select label from cells)) as appeared from (select 1 from cells a left join {EDITED} b on a.y = b.y and a.x = b.x where a.label <> coalesce(b.label, 0))", "cells"))
@@ -782,14 +783,16 @@ def warp_field(spark, d):
     return R.warp(I.px(spark, d), _field(spark, d)).withColumn("v", F.round("v", 5))
 
 
-@query()
+@query(sql("select b as ty, cast(0 as bigint) as tx, -3e0 as dy, 5e0 as dx from (select unnest(range(cast((hd + 47) // 48 as bigint))) as b from hd)", "hd"))
 def phase_shift(spark, d):
-    """Planted: the second plane is the first, moved by (3, -5); wrapped at the edge, so that the answer is exact."""
-    a = I.disc_plane(spark, d).withColumn("v", F.col("v") + (F.col("y") * 7 + F.col("x") * 13) % 50)
-    b = a.select(((F.col("y") + 3) % H).alias("y"), ((F.col("x") + W - 5) % W).alias("x"), "v")
+    """Planted: the second plane is the first, moved by (3, -5) and wrapped within its band of 48 rows; a tile is a band, and the way back is found in each."""
+    a = I.disc_plane(spark, d).withColumn("v", F.col("v") + (F.col("y") * 7 + F.col("x") * 13) % 50).withColumn("band", F.expr("y div 48"))
+    rows = F.least(F.lit(48), I.disc_height(spark, d) - F.col("band") * 48)
+    at = lambda y: (F.col("band") * 64 + y).alias("y")
+    b = a.select(at((F.col("y") % 48 + 3) % rows), ((F.col("x") + W - 5) % W).alias("x"), "v")
     key = lambda p: p.withColumn("cycle", F.lit(1))
-    got = R.estimate_shifts(key(a), key(b), ["cycle"], 64)
-    return got.select("ty", "tx", F.round("dy", 0).alias("dy"), F.round("dx", 0).alias("dx"))
+    got = R.estimate_shifts(key(a.select(at(F.col("y") % 48), "x", "v")), key(b), ["cycle"], 64)
+    return got.select("ty", "tx", (F.round("dy", 0) + 0.0).alias("dy"), (F.round("dx", 0) + 0.0).alias("dx"))
 
 
 @query()
@@ -815,7 +818,7 @@ select dense_rank() over (order by label) as label, count(*) as area from discs
 def nuclei_instances(spark, d):
     """Planted discs, found again from their plane: areas in the order of the objects."""
     prob = I.disc_plane(spark, d).select("y", "x", F.when(F.col("v") > 1000, F.lit(0.9)).otherwise(F.lit(0.1)).alias("p"))
-    found = SEG.nuclei(prob, H, W, least=12)
+    found = SEG.nuclei(prob, I.disc_height(spark, d), W, least=12)
     order = found.groupBy("label").agg(F.count("*").alias("area"), F.min(F.expr("y div 12 * 64 + x")).alias("at"))
     from pyspark.sql import Window
 
@@ -826,4 +829,4 @@ def nuclei_instances(spark, d):
 def cells_from_nuclei(spark, d):
     prob = I.disc_plane(spark, d).select("y", "x", F.when(F.col("v") > 1000, F.lit(0.9)).otherwise(F.lit(0.5)).alias("p"))
     nuclei = I.discs(spark, d).select("y", "x", "label")
-    return SEG.grow_cells(nuclei, prob, H, W, reach=3)
+    return SEG.grow_cells(nuclei, prob, I.disc_height(spark, d), W, reach=3)

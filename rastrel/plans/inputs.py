@@ -38,18 +38,23 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return foreground(spark, sf_dir).select("y", "x", F.expr("(y div 8) * 8 + x div 8 + 1").alias("label"))
 
 
+def disc_height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the plane of discs: twelve for each five suppliers."""
+    return ((table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] or 0) // 5 + 1) * 12
+
+
 def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planted discs, one for each of the first suppliers: ``(y, x, label, v)``."""
-    k = table(spark, sf_dir, "supplier").where("s_suppkey between 0 and 19").select(F.col("s_suppkey").alias("k"))
+    """Planted discs, one for each supplier: ``(y, x, label, v)``."""
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     spot = k.select("k", F.expr("6 + 12 * (k div 5)").alias("cy"), F.expr("6 + 13 * (k % 5)").alias("cx"), F.expr("3 + k % 3").alias("r"))
     rows = spot.withColumn("y", F.explode(F.expr("sequence(cy - r, cy + r)"))).withColumn("x", F.explode(F.expr("sequence(cx - r, cx + r)")))
-    inside = rows.where("(y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r").where(F.col("y").between(0, H - 1) & F.col("x").between(0, W - 1))
+    inside = rows.where("(y - cy) * (y - cy) + (x - cx) * (x - cx) <= r * r")
     return inside.groupBy("y", "x").agg((F.min("k") + 1).alias("label"), (F.min("k") * 100 + 20000).alias("v"))
 
 
 def disc_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The discs on their background of 120."""
-    grid = spark.range(H).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(W - 1).cast("long"))).alias("x"))
+    grid = spark.range(disc_height(spark, sf_dir)).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(W - 1).cast("long"))).alias("x"))
     return grid.join(discs(spark, sf_dir), ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(120)).cast("long").alias("v"))
 
 
