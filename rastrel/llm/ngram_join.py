@@ -51,7 +51,7 @@ CHUNK_TOKENS, CHUNK_DOCS = 1 << 19, 1 << 15
 #: Tokens of one range, and most ranges; bytes of text for a token; bytes of text for each task that counts.
 RANGE_TOKENS, MOST_RANGES, TOKEN_BYTES, TASK_BYTES = 1 << 21, 1 << 18, 6, 128 << 20
 #: Share of all prefixes' tokens that lies above each class border, and the highest borders.
-CLASS_SHARES, CLASS_MOST = (0.1, 0.03), (4096, 65536)
+CLASS_SHARES, CLASS_MOST = (0.03, 0.008), (4096, 65536)
 MANY = 0xFFFF
 #: Documents of one block when the rest is compared.
 BLOCK_DOCS = 1024
@@ -305,7 +305,7 @@ def signatures(toks: np.ndarray, dfs: np.ndarray, n: int, num: int, den: int, cl
     combined: dict[int, list[tuple[int, ...]]] = {}
     own = _level(n, num, den)
     for level in (own, own + 1):
-        groups = int((den / num * 1.005) ** (level - 1)) // 16  # at most a 16th of the smallest size on this level
+        groups = int((den / num * 1.005) ** (level - 1)) // 8  # at most an 8th of the smallest size on this level
         if not groups or ones >= need:
             singles = need
             continue
@@ -407,10 +407,11 @@ def _decide(n: int, num: int, den: int):
     return run
 
 
-def _settled(pairs: DataFrame, rows: DataFrame, rep: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _settled(pairs: DataFrame, rows: DataFrame, rep: DataFrame, n: int, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
     """``(a, b)``: the sure links, and of the others those that the texts of both classes confirm."""
     open_ = pairs.where("not sure").select("a", "b").distinct()
     asked = open_.select(F.col("a").alias("class")).union(open_.select("b")).distinct().join(rep, "class").select("class", "rep", "fp")
+    asked = scratch.save(asked, f"{name}-asked")  # a file whose size is known: a small one is broadcast, and the texts stay where they are
     texts = rows.join(asked, F.col("doc_id") == F.col("rep")).select("class", "text", "fp").mapInArrow(_named(n), "class long, text string").dropDuplicates(["class"])
     side = lambda x: texts.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}"))
     told = open_.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_decide(n, num, den), "a long, b long")
@@ -558,16 +559,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     right = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("toks").alias("toks_b"))
     compared = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "toks_a", "toks_b")
     found = scratch.save(compared.mapInArrow(_verify(num, den), "a long, b long, sure boolean"), "found")
-    stars = scratch.save(_settled(found, rows, rep, n, num, den), "stars")
+    stars = scratch.save(_settled(found, rows, rep, n, num, den, scratch, "found"), "stars")
     comp = connected_components(stars, scratch, "first")
 
     rest = scratch.save(_rest(sigs, sets, comp, num, den), "rest")
-    rest = scratch.save(_settled(rest, rows, rep, n, num, den), "settled")
+    rest = scratch.save(_settled(rest, rows, rep, n, num, den, scratch, "rest"), "settled")
     same = rep.where(F.col("class") != F.col("rep")).select(F.col("rep").alias("a"), F.col("class").alias("b"))  # classes of one id
     final = connected_components(stars.union(rest).union(same), scratch, "last")
     names = final.join(rep, F.col("node") == F.col("class")).groupBy("comp").agg(F.min("rep").alias("name"))
     final = final.join(names, "comp").select(F.col("node").alias("class"), F.col("name").alias("comp"))
-    scratch.drop("sigs", "sets", "found", "stars", "rest", "settled")
+    scratch.drop("sigs", "sets", "found", "found-asked", "stars", "rest", "rest-asked", "settled")
 
     named = state.select("doc_id", "n_shingles", F.when(F.col("toks").isNotNull(), F.col("fp")).alias("fp")).join(rep, "fp", "left").join(final, "class", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))

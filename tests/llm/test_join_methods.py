@@ -3,6 +3,7 @@
 import numpy as np
 
 from rastrel.llm import ngram_join as J
+from rastrel.llm.scratch import Scratch
 
 from ..conftest import DATA
 
@@ -38,4 +39,4 @@ def test_texts_decide_at_the_border(spark):
 
     (_, sets), = J.shingle_sets([pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])], 5)
     rep = spark.createDataFrame([(xxhash.xxh3_128_digest(s.tobytes()), i, i) for s, (i, _) in zip(sets, rows)], "fp binary, rep long, class long")
-    assert sorted(map(tuple, J._settled(pairs, table, rep, 5, 3, 4).collect())) == [(1, 2), (1, 3)]
+    assert sorted(map(tuple, J._settled(pairs, table, rep, 5, 3, 4, Scratch(spark, "settled-test"), "x").collect())) == [(1, 2), (1, 3)]
