@@ -46,7 +46,7 @@ def test_warp_is_the_inverse_of_a_shift(spark):
 
     field = px.select("y", "x", F.lit(2.0).alias("dy"), F.lit(-3.0).alias("dx"))
     got = {(r["y"], r["x"]): r["v"] for r in registration.warp(px, field).collect()}
-    want = {(r["y"], r["x"]): r["v"] for r in geometry.shift(px, 2, -3, inputs.H, inputs.W).collect()}
+    want = {(r["y"], r["x"]): r["v"] for r in geometry.shift(px, 2, -3, inputs.disc_height(spark, f"{DATA}/sf0.01"), inputs.W).collect()}
     assert all(got[k] == v for k, v in want.items()) and all(v == 0 for k, v in got.items() if k not in want)
 
 
