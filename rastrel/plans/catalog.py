@@ -493,7 +493,17 @@ def relax_step(spark, d):
     return GR.relax(_start(spark), _weighted(spark, d), 0, rounds=1).select("tile", F.round("y", 6).alias("y"), F.round("x", 6).alias("x"))
 
 
-@query()
+def _sweeps_sql(rounds: int) -> str:
+    """One sweep after the other, each from the positions of the one before."""
+    parts = [", p0 as (select tile, (tile // 6) * 93e0 as y, (tile % 6) * 93e0 as x from range(30) t(tile))"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""v{k} as (select dst as tile, y + dy as vy, x + dx as vx, w from links join p{k - 1} p on p.tile = src), m{k} as (select tile, quantile_cont(vy, 0.5e0) as my, quantile_cont(vx, 0.5e0) as mx, count(*) as n from v{k} group by 1),
+t{k} as (select v.tile, sum(vy * w) / sum(w) as ty, sum(vx * w) / sum(w) as tx from v{k} v join m{k} m on m.tile = v.tile where n < 3 or sqrt((vy - my) ** 2 + (vx - mx) ** 2) <= 12e0 group by 1),
+p{k} as materialized (select p.tile, case when p.tile = 0 then 0e0 else y + 0.7e0 * (coalesce(ty, y) - y) end as y, case when p.tile = 0 then 0e0 else x + 0.7e0 * (coalesce(tx, x) - x) end as x from p{k - 1} p left join t{k} t on t.tile = p.tile)""")
+    return ", ".join(parts) + f" select tile, cast(round_even(y - (select min(y) from p{rounds}), 0) as bigint) as y, cast(round_even(x - (select min(x) from p{rounds}), 0) as bigint) as x from p{rounds}"
+
+
+@query(sql(_sweeps_sql(8), "links"))
 def solve_positions(spark, d):
     """Eight sweeps, then whole positions from the origin."""
     return GR.to_origin(GR.relax(_start(spark), _weighted(spark, d), 0))
@@ -504,7 +514,15 @@ def normalize_positions(spark, d):
     return GR.to_origin(GR.relax(_start(spark), _weighted(spark, d), 0, rounds=1))
 
 
-@query()
+def _places_sql(rounds: int) -> str:
+    """Tiles reached in one hop after the other; of several parents the smallest tile decides."""
+    parts = [", r0 as (select cast(0 as bigint) as tile, 0e0 as y, 0e0 as x, cast(0 as bigint) as hop)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""r{k} as materialized (select * from r{k - 1} union all select tile, y, x, {k} from (select dst as tile, r.y + dy as y, r.x + dx as x, row_number() over (partition by dst order by src, r.y + dy, r.x + dx) as k from links join r{k - 1} r on r.tile = src where hop = {k - 1} and dst not in (select tile from r{k - 1})) where k = 1)""")
+    return ", ".join(parts) + f" select tile, y, x, hop from r{rounds}"
+
+
+@query(sql(_places_sql(14), "links"))
 def place_from_seed(spark, d):
     return GR.place_from_seed(_tiles(spark), _weighted(spark, d), 0)
 
@@ -530,7 +548,15 @@ def seam_jumps(spark, d):
     return GR.seam_jumps(I.elastic_tiles(spark, d), 10).withColumn("jump", F.round("jump", 6))
 
 
-@query()
+def _spread_sql(n: int) -> str:
+    """The cell nearest the mean, then again and again the one farthest from those chosen."""
+    parts = [", c as (select distinct y // 8 as y, x // 8 as x from cells), f1 as (select cast(0 as bigint) as rank, y, x from (select *, (select avg(y) from c) as my, (select avg(x) from c) as mx from c) order by round((y - my) * (y - my) + (x - mx) * (x - mx), 6), y, x limit 1)"]
+    for k in range(2, n + 1):
+        parts.append(f"f{k} as materialized (select * from f{k - 1} union all (select {k - 1}, y, x from (select c.y, c.x, min((c.y - f.y) * (c.y - f.y) + (c.x - f.x) * (c.x - f.x)) as d from c, f{k - 1} f group by 1, 2) where d > 0 order by d desc, y, x limit 1))")
+    return ", ".join(parts) + f" select rank, y, x from f{n}"
+
+
+@query(sql(_spread_sql(5), "cells"))
 def farthest_cells(spark, d):
     return GR.farthest_cells(I.cells(spark, d).select(F.expr("y div 8").alias("y"), F.expr("x div 8").alias("x")).distinct(), 5)
 
