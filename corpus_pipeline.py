@@ -15,27 +15,27 @@ MOST_REPEATS = 1.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the repetition rules go."""
+    """Documents that fail the repetition rules go, and with them null, empty and blank texts; rows are judged one by one, whatever their id."""
     return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links reach, the one with the smallest id stays."""
+    """Of documents that links reach, the one with the smallest id stays; of rows equal in id and text one; rows without an id all stay."""
     return keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Rows whose own text holds a window of a benchmark item go; an empty benchmark drops nothing."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated towards equal weights; no document is lost."""
+    """Small sources are repeated towards equal weights; no row is lost, and none is multiplied by others of its id; a null source is one of its own."""
     return realise(docs, most_repeats=MOST_REPEATS, budget_share=None)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as token ids in wavelet matrix files, and where each stands in them."""
+    """The documents as token ids in wavelet matrix files, and where each stands in them; null ids come first, repeated ones side by side."""
     return read_tokens(*write_tokens(docs, tokenizer_file(), end_id=1))
 
 
@@ -45,6 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written before the next one reads it; an empty table gives an empty table, and other columns are carried, whatever their names."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
