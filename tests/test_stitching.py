@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from rastrel.operators import islands, pyramid, stitching, touchup
+from rastrel.operators import islands, pyramid, segmentation, stitching, touchup
 
 
 def _texture(h, w, seed=3):
@@ -88,3 +88,13 @@ def test_level_shapes_halve_until_the_short_side_is_small(spark):
             h, w, level = max(1, (h + 1) // 2), max(1, (w + 1) // 2), level + 1
             want.add((k, level, h, w))
     assert {tuple(r) for r in pyramid.level_shapes(images).collect()} == want
+
+
+def test_a_boundary_parts_nuclei_that_no_neck_does(spark):
+    y, x = np.mgrid[:30, :44]
+    mask = ((y - 14) ** 2 + (x - 13) ** 2 <= 81) | ((y - 14) ** 2 + (x - 27) ** 2 <= 81) | ((abs(y - 14) <= 9) & (x >= 13) & (x <= 27))
+    rows = [(int(a), int(b), 0.9, 0.9 if b == 20 else 0.0, 0.7 if a < 8 else 0.0) for a, b in np.argwhere(mask)]
+    probs = spark.createDataFrame(rows, "y long, x long, p double, boundary double, background double")
+    got = segmentation.boundary_nuclei(probs, 30, 44, spacing=6).toPandas()
+    left, right = set(got[got.x < 18].label), set(got[got.x > 22].label)
+    assert got.y.min() == 8 and left and right and not left & right
