@@ -618,6 +618,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession, "representatives")
     named = ngram_jaccard_components(docs, id_col, text_col, **how).where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias("n"))
     named = scratch.save(named, "named")
-    of = lambda which: docs.join(named.where(which).select(kept), F.col(id_col).cast("long") == F.col(kept), "left_semi")
+    # The ids of representatives grow with the documents, so they are never broadcast.
+    of = lambda which: docs.join(named.where(which).select(kept).hint("merge"), F.col(id_col).cast("long") == F.col(kept), "left_semi")
     out = docs.where(F.col(id_col).cast("long").isNull()).unionByName(of("n = 1"))
     return out if named.where("n > 1").isEmpty() else out.unionByName(of("n > 1").dropDuplicates([id_col, text_col]))
