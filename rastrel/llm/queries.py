@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .decontaminate import contamination
+from .lexical_search import lexical_search
 from .licenses import license_scan
 from .line_runs import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .quality import MOST_COVERED, MOST_LINES, quality_metrics
 from .secrets import secret_spans, span_text
+from .substrings import dedup_substrings
 from .toxicity import toxicity_scores
 from .url_filter import GLOBS, RULES, url_verdicts
 from .wavelet import read_tokens, tokenizer_file, write_tokens
@@ -75,7 +78,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_metrics(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_wavelet_tokens, op3_url_filter, op4_line_runs, op5_secret_scan, op6_temperature_mixing, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, op10_quality_rules)}
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that start twice.  Odd rows as in ``dedup_substrings``."""
+    cut = dedup_substrings(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document.  Odd rows as in ``align_tokenizers``."""
+    found = align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for every benchmark item.  Odd rows as in ``lexical_search``."""
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_wavelet_tokens, op3_url_filter, op4_line_runs, op5_secret_scan, op6_temperature_mixing, op7_benchmark_decontamination, op8_toxicity, op9_license_scan, op10_quality_rules, op11_suffix_array_dedup, op12_tokenizer_alignment, op13_lexical_search)}
 
 SPACED, WORDS = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
