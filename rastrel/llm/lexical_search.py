@@ -30,7 +30,7 @@ from . import textops as T
 from .scratch import Scratch
 
 #: Documents of a block, and bytes of text and number of texts of a shard.
-BLOCK, SHARD_BYTES, SHARD_DOCS = 128, 16 << 20, 1 << 16
+BLOCK, SHARD_BYTES, SHARD_DOCS = 128, 8 << 20, 1 << 16
 #: Query terms whose weights are broadcast at most; more are joined by a shuffle.
 MOST_TERMS = 1 << 20
 #: Delimiter bytes of ``[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+``.
@@ -99,20 +99,26 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
-def shard_lists(raw: np.ndarray, at: np.ndarray, docs: int, terms: int) -> tuple[np.ndarray, list[pa.Array]]:
+def shard_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a block of texts the lowered bytes, the number of terms of each text, and of each term its start, end and hash."""
+    text = T.LOWER[raw]
+    starts, ends = T.spans(raw, at, OUTSIDE)
+    return text, T.owners(starts, at)[0], starts, ends, T.hashes(text, starts, ends)
+
+
+def shard_lists(blocks_of: list[tuple[np.ndarray, ...]], docs: int, terms: int) -> tuple[np.ndarray, list[pa.Array]]:
     """The number of terms of each text of a shard, and of each different term ``term, df, top, blocks, postings``.
 
     A block is the gaps of its documents, the first one counted from 0, and then
     their term frequencies.  ``blocks`` has three numbers for each block of a list
     of several: first document, largest impact, end in ``postings``.
     """
-    text = T.LOWER[raw]
-    starts, ends = T.spans(raw, at, OUTSIDE)
-    n, _ = T.owners(starts, at)
+    base = np.cumsum([0, *(len(b[0]) for b in blocks_of)])
+    text, n, h = (np.concatenate([b[k] for b in blocks_of]) for k in (0, 1, 4))
+    starts, ends = (np.concatenate([b[k] + at for b, at in zip(blocks_of, base)]) for k in (2, 3))
     if not len(starts):
         return n, [pa.array([], k) for k in KINDS[1:6]]
     m = length_norm(n, docs, terms)
-    h = T.hashes(text, starts, ends)
     order = np.argsort(h, kind="stable")  # within a term by text
     doc, h = np.repeat(np.arange(len(n)), n)[order], h[order]
     new_term = np.concatenate([[True], h[1:] != h[:-1]])
@@ -153,11 +159,10 @@ def _index(docs: int, terms: int, most_bytes: int, most_docs: int):
         task = TaskContext.get()
         part, seq = task.partitionId() if task else 0, 0
         ids: list = []
-        held: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            n, lists = shard_lists(np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), docs, terms)
+            n, lists = shard_lists(held, docs, terms)
             shard = f"{part:08d}-{seq:08d}"
             whole = [pa.nulls(1, k) for k in KINDS[1:6]]
             for own, left in ((whole, [pa.array([ids], KINDS[6]), pa.array([n.astype("<i8").tobytes()], KINDS[7])]), (lists, [pa.nulls(len(lists[0]), k) for k in KINDS[6:]])):
@@ -165,12 +170,12 @@ def _index(docs: int, terms: int, most_bytes: int, most_docs: int):
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for first, last, raw, at in T.blocks(batch.column(1), most_bytes):
-                if ids and (len(ids) + last - first > most_docs or sum(map(len, held)) + len(raw) > most_bytes):
+            for first, last, raw, at in T.blocks(batch.column(1), min(T.BLOCK_BYTES, most_bytes)):
+                if ids and (len(ids) + last - first > most_docs or sum(len(b[0]) for b in held) + len(raw) > most_bytes):
                     yield from close()
-                    ids, held, sizes, seq = [], [], [], seq + 1
+                    ids, held, seq = [], [], seq + 1
                 ids += names[first:last]
-                held.append(raw), sizes.append(np.diff(at))
+                held.append(shard_words(raw, at))
         if ids:
             yield from close()
         T.trim()
