@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import aggregates as A
-from .stitching import moved
 
 # Least gain and correlation of a correction, least pixels of signal of a tile, least pixels of a score mask.
 LEAST_GAIN, LEAST_CORR, LEAST_SIGNAL, LEAST_MASK = 0.01, 0.5, 1024, 32
@@ -35,51 +34,65 @@ def gate(base: Column, corr: Column, signal: Column, skip: float = 0.95) -> Colu
     return F.when(signal < LEAST_SIGNAL, "abstain").when(base >= skip, "stable").when(corr.isNull() | F.isnan(corr), "rejected").when(good, "accepted").otherwise("rejected")
 
 
-def _score(a: np.ndarray, b: np.ndarray, use: np.ndarray) -> float:
-    x, y = a[use] - a[use].mean(), b[use] - b[use].mean()
-    size = math.sqrt(float((x * x).sum() * (y * y).sum()))
-    return float((x * y).sum()) / size if size > 1e-12 else 0.0
+def score_surface(fixed: np.ndarray, moving: np.ndarray, use: np.ndarray, bound: int) -> np.ndarray:
+    """``[dy + bound, dx + bound]``: the correlation of ``fixed`` with ``moving`` shifted by ``(dy, dx)``, over the pixels of ``use``.
 
+    Sums under the mask are correlations of planes, so three products of spectra
+    give all shifts at once.  What comes in from outside is 0; a shift without
+    contrast scores 0.
+    """
+    shape = [n + bound for n in fixed.shape]
+    spectrum = lambda plane: np.fft.rfft2(plane, shape)
+    n, own = use.sum(), np.where(use, fixed - fixed[use].mean(), 0.0)
+    mask, shifted = spectrum(use.astype(float)), np.conj(spectrum(moving))
+    sums, squares, cross = (np.fft.irfft2(x, shape) for x in (mask * shifted, mask * np.conj(spectrum(moving * moving)), spectrum(own) * shifted))
+    power = (own * own).sum() * (squares - sums * sums / n)
+    score = np.where(power > 1e-9, cross / np.sqrt(np.maximum(power, 1e-9)), 0.0)
+    lags = np.arange(-bound, bound + 1)
+    return score[np.ix_(lags, lags)]
 
-def climb(fixed: np.ndarray, moving: np.ndarray, use: np.ndarray, bound: int) -> tuple[int, int, float, float]:
-    """``(dy, dx, base, best)``: the whole shift within ``bound`` that correlates best under the mask.
 
-    Steps of an eighth of the bound, then halves of it down to 1; each round looks
-    four steps around the best so far, and a shift has to be better by 1e-6.
-    """
-    base = best = _score(fixed, moving, use)
-    dy = dx = 0
-    step = max(1, math.ceil(bound / 8))
-    while True:
-        cy, cx = dy, dx
-        for a in range(max(-bound, cy - 4 * step), min(bound, cy + 4 * step) + 1, step):
-            for b in range(max(-bound, cx - 4 * step), min(bound, cx + 4 * step) + 1, step):
-                score = _score(fixed, moved(moving, a, b), use)
-                if score > best + 1e-6:
-                    dy, dx, best = a, b, score
-        if step == 1:
-            return dy, dx, base, best
-        step //= 2
-
-
-def rigid_touchup(pairs: DataFrame, size: int, bound: int, least_gain: float = LEAST_GAIN, least_corr: float = LEAST_CORR) -> DataFrame:
+def best_shift(surface: np.ndarray) -> tuple[int, int, float, float]:
+    """``(dy, dx, base, best)``: the highest score, to nine decimals, then the nearest shift, then the smallest ``(dy, dx)``; none below a gain of 1e-6."""
+    bound = len(surface) // 2
+    dy, dx = np.mgrid[-bound : bound + 1, -bound : bound + 1]
+    first = np.lexsort((dx.ravel(), dy.ravel(), (dy * dy + dx * dx).ravel(), -np.round(surface, 9).ravel()))[0]
+    base, best = float(surface[bound, bound]), float(surface.ravel()[first])
+    return (int(dy.ravel()[first]), int(dx.ravel()[first]), base, best) if best > base + 1e-6 else (0, 0, base, base)
+
+
+def stretched(plane: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """0 to 1 between the 1st and 99th percentile of the pixels held, clipped; others, and planes without contrast, are 0."""
+    low, high = np.percentile(plane[held], (1, 99)) if held.any() else (0.0, 0.0)
+    return np.where(held, np.clip((plane - low) / (high - low), 0, 1), 0.0) if high > low else np.zeros_like(plane)
+
+
+def rigid_touchup(pairs: DataFrame, size: int, bound: int, least_gain: float = LEAST_GAIN, least_corr: float = LEAST_CORR, halo: int = 0) -> DataFrame:
     """``(tile, dy, dx, base, corr, accepted)`` of tiles ``(tile, y, x, a, b, m)``: fixed and moving values and the mask.
 
-    A group is one tile of at most ``size`` squared pixels.  Rejected tiles have
-    no shift; a mask of fewer than 32 pixels gives none either.
+    The shift of ``b`` within ``bound`` that correlates best with ``a`` under the
+    mask, both stretched from their 1st to their 99th percentile; every shift is
+    scored.  Moving pixels may reach ``halo`` beyond the tile on all sides; there
+    ``a`` is null and the mask false, so what is shifted in is the neighbour's and
+    not 0.  A group is one tile of at most ``size`` squared pixels and its halo.
+    Rejected tiles have no shift; a mask of fewer than 32 pixels gives none either.
     """
     schema = "tile long, dy double, dx double, base double, corr double, accepted boolean"
+    side = size + 2 * halo
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b, use = np.zeros((size, size)), np.zeros((size, size)), np.zeros((size, size), bool)
-        at = group["y"].to_numpy(), group["x"].to_numpy()
-        a[at], b[at], use[at] = group["a"].to_numpy(), group["b"].to_numpy(), group["m"].to_numpy()
-        head = group[["tile"]].head(1).reset_index(drop=True)
-        if use.sum() < LEAST_MASK:
-            return head.assign(dy=0.0, dx=0.0, base=0.0, corr=0.0, accepted=False)
-        dy, dx, base, best = climb(a, b, use, bound)
+        at = group["y"].to_numpy() + halo, group["x"].to_numpy() + halo
+        a, b = np.full((side, side), np.nan), np.full((side, side), np.nan)
+        use = np.zeros((side, side), bool)
+        a[at], b[at], use[at] = group["a"].to_numpy(float), group["b"].to_numpy(float), group["m"].to_numpy(bool)
+        use &= ~np.isnan(a)
+        dy = dx = 0
+        base = best = 0.0
+        if use.sum() >= LEAST_MASK:
+            fixed, moving = (stretched(np.nan_to_num(p), ~np.isnan(p)) for p in (a, b))
+            dy, dx, base, best = best_shift(score_surface(fixed, moving, use, bound))
         ok = (dy, dx) != (0, 0) and best - base >= least_gain and best >= least_corr
-        return head.assign(dy=float(dy) if ok else 0.0, dx=float(dx) if ok else 0.0, base=base, corr=best, accepted=ok)
+        return pd.DataFrame({"tile": [group["tile"].iloc[0]], "dy": [float(dy * ok)], "dx": [float(dx * ok)], "base": [base], "corr": [best], "accepted": [ok]})
 
     return pairs.groupBy("tile").applyInPandas(run, schema)
 

@@ -1,4 +1,4 @@
-"""Queries of islands, stitching and touch-up, with SQL; where a shift is planted, the SQL states it."""
+"""Queries of islands, stitching and touch-up, with SQL."""
 
 from __future__ import annotations
 
@@ -153,6 +153,44 @@ def strip_pair(spark, d):
     return ST.neighbour_estimates(tiles, pairs, SIDE, SIDE, 1000.0, least_px=4).select("axis", "src", "dst", (F.round("dy") + 0.0).alias("dy"), (F.round("dx") + 0.0).alias("dx"), "fallback")
 
 
+# Small tiles of whole numbers: every candidate overlap, its shift by circular correlation, cost and correlation, are computed in SQL too.
+N = 16
+VALUE = "((y + oy) * (y + oy) * 31 + (x + ox) * (x + ox) * 17 + (y + oy) * (x + ox) * 7 + k * 13) % 251"
+STRIPS = f"""with s as (select s_suppkey as k, 3 + s_suppkey % 2 as true_overlap, s_suppkey % 3 - 1 + 4 as aside from supplier), o as (select unnest(range(3, 5)) as n),
+a as (select k, n, y, x - ({N} - n) as x, ({VALUE.replace('oy', '4').replace('ox', '0')}) as v from s, o, range({N}) r(y), range({N}) c(x) where x >= {N} - n),
+b as (select k, n, y, x, ({VALUE.replace('oy', 'aside').replace('ox', f'({N} - true_overlap)')}) as v from s, o, range({N}) r(y), range({N}) c(x) where x < n),
+lag as (select a.k, a.n, (a.y - b.y + {N}) % {N} as dy, (a.x - b.x + a.n) % a.n as dx, sum(a.v * b.v) as c from a join b on a.k = b.k and a.n = b.n group by 1, 2, 3, 4),
+peak as (select k, n, arg_max(dy, (c, -dy, -dx)) as dy, arg_max(dx, (c, -dy, -dx)) as dx from lag group by 1, 2), far as (select k, n, case when dy > {N // 2} then dy - {N} else dy end as dy, case when dx > n // 2 then dx - n else dx end as dx from peak),
+met as (select a.k, a.n, f.dy, f.dx, a.v as v, coalesce(b.v, 0) as w from a join far f on f.k = a.k and f.n = a.n left join b on b.k = a.k and b.n = a.n and b.y = a.y - f.dy and b.x = a.x - f.dx),
+sums as (select k, n, dy, dx, count(*) as m, sum(v) as sa, sum(w) as sb, sum(v * v) as saa, sum(w * w) as sbb, sum(v * w) as sab, count(*) filter (v > 125 and w > 125) as common from met group by 1, 2, 3, 4),
+cost as (select k, n as overlap, cast(dy as double) as cross_, cast(dx as double) as along, cast(common as bigint) as common, round((m * sab::double - sa::double * sb) / sqrt((m * saa::double - sa::double * sa) * (m * sbb::double - sb::double * sb)), 6) as score, abs(dx) + 0.25e0 * abs(dy) + case when common = 0 then 1e6 else 0 end as cost from sums)"""
+
+
+def _whole_tiles(spark, d):
+    s = I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    both = s.withColumn("first", F.explode(F.array(F.lit(True), F.lit(False))))
+    oy, ox = F.when(F.col("first"), 4).otherwise(F.col("k") % 3 - 1 + 4), F.when(F.col("first"), 0).otherwise(N - 3 - F.col("k") % 2)
+    rows = both.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(N - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
+    y, x = F.col("y") + oy, F.col("x") + ox
+    tiles = rows.select((F.col("k") * 2 + F.when(F.col("first"), 0).otherwise(1)).alias("tile"), "y", "x", ((y * y * 31 + x * x * 17 + y * x * 7 + F.col("k") * 13) % 251).alias("v"))
+    return tiles, s.select(F.lit("x").alias("axis"), (F.col("k") * 2).alias("src"), (F.col("k") * 2 + 1).alias("dst"))
+
+
+@query(f"{STRIPS} select k * 2 as src, overlap, cross_ as cross, along, common, score, cost from cost")
+def strip_candidates(spark, d):
+    """Every overlap that is tried, with its shift, common foreground, correlation and cost."""
+    got = ST.candidate_costs(*_whole_tiles(spark, d), N, N, 125.0, least_px=3, upsample=1)
+    return got.select("src", "overlap", (F.col("cross") + 0.0).alias("cross"), (F.col("along") + 0.0).alias("along"), "common", F.round("score", 6).alias("score"), "cost")
+
+
+@query(f"""{STRIPS}, best as (select *, row_number() over (partition by k order by round(cost, 6), score desc, overlap) as r from cost)
+select k * 2 as src, cross_ as dy, 16e0 - overlap + along as dx, overlap - along as overlap, score, cast(common as double) as fg_px from best where r = 1""")
+def strip_estimates(spark, d):
+    """The overlap of least cost and the step that it gives."""
+    got = ST.neighbour_estimates(*_whole_tiles(spark, d), N, N, 125.0, least_px=3, upsample=1)
+    return got.select("src", (F.col("dy") + 0.0).alias("dy"), "dx", "overlap", F.round("score", 6).alias("score"), "fg_px")
+
+
 # ---------------------------------------------------------------- touch-up
 
 
@@ -181,18 +219,29 @@ def acceptance_gates(spark, d):
     return rows.select("tile", T.gate(F.col("base"), F.col("corr"), F.col("signal")).alias("state"))
 
 
-@query("""select s_suppkey as tile, case when s_suppkey % 4 = 3 then 0e0 else s_suppkey % 7 - 3e0 end as dy, case when s_suppkey % 4 = 3 then 0e0 else s_suppkey % 5 - 2e0 end as dx, s_suppkey % 4 <> 3 and (s_suppkey % 7 <> 3 or s_suppkey % 5 <> 2) as accepted from supplier""")
+# Tiles of sums of waves; a quarter of them against noise of whole numbers.
+WAVE = "sin(({y}) / 2e0) * 900 + cos(({x}) / 2.5e0 + ({y}) / 4.5e0) * 700 + sin(({x}) / 1.5e0) * 300 + 4000"
+TOUCH = f"""with g as (select s_suppkey as k, y, x, {WAVE.format(y='y', x='x')} as a, case when s_suppkey % 4 = 3 then (y * y * 7 + x * x * 13 + y * x * 5 + s_suppkey * 3) % 5003 * 1e0 else {WAVE.format(y='y + s_suppkey % 7 - 3', x='x + s_suppkey % 5 - 2')} end as b, y between 5 and 18 and x between 5 and 18 as m from supplier, range(24) r(y), range(24) c(x)),
+q as (select k, quantile_cont(a, 0.01e0) as a1, quantile_cont(a, 0.99e0) as a9, quantile_cont(b, 0.01e0) as b1, quantile_cont(b, 0.99e0) as b9 from g group by 1),
+n as (select g.k, y, x, m, least(greatest((a - a1) / (a9 - a1), 0), 1) as a, least(greatest((b - b1) / (b9 - b1), 0), 1) as b from g join q on q.k = g.k),
+s as (select f.k, u.dy, t.dx, corr(f.a, v.b) as c from n f, range(-4, 5) u(dy), range(-4, 5) t(dx), n v where f.m and v.k = f.k and v.y = f.y - u.dy and v.x = f.x - t.dx group by 1, 2, 3),
+best as (select *, row_number() over (partition by k order by round(c, 9) desc, dy * dy + dx * dx, dy, dx) as r, max(case when dy = 0 and dx = 0 then c end) over (partition by k) as base from s),
+ok as (select *, c > base + 1e-6 and c - base >= 0.01e0 and c >= 0.5e0 as ok from best where r = 1)
+select k as tile, case when ok then dy else 0 end * 1e0 as dy, case when ok then dx else 0 end * 1e0 as dx, round(base, 6) as base, round(c, 6) as corr, ok as accepted from ok"""
+
+
+@query(TOUCH)
 def rigid_touchup(spark, d):
-    """Planted shifts are found and accepted; where the moving tile is another texture, or lies right, nothing is."""
-    k, n = F.col("s_suppkey"), 24
-    place = lambda c, by: (F.floor(c / 3).cast("long") + by).cast("double")
+    """Planted shifts are found and accepted; where the moving tile is noise, or lies right, nothing is."""
+    n = 24
     wave = lambda y, x: F.sin(y / 2.0) * 900 + F.cos(x / 2.5 + y / 4.5) * 700 + F.sin(x / 1.5) * 300 + 4000
-    rows = I.table(spark, d, "supplier").select(k.alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     t, y, x = F.col("tile"), F.col("y"), F.col("x")
     # moving[y, x] = fixed[y + dy, x + dx]: shifting it by (dy, dx) brings it back.
-    moving = F.when(t % 4 == 3, F.pmod(F.xxhash64("tile", "y", "x"), F.lit(5000)).cast("double")).otherwise(wave(y + t % 7 - 3, x + t % 5 - 2))
-    rows = rows.select("tile", "y", "x", wave(y, x).alias("a"), moving.alias("b"), ((y >= 5) & (y < n - 5) & (x >= 5) & (x < n - 5)).alias("m"))
-    return T.rigid_touchup(rows, n, 4).select("tile", "dy", "dx", "accepted")
+    noise = ((y * y * 7 + x * x * 13 + y * x * 5 + t * 3) % 5003).cast("double")
+    rows = rows.select("tile", "y", "x", wave(y, x).alias("a"), F.when(t % 4 == 3, noise).otherwise(wave(y + t % 7 - 3, x + t % 5 - 2)).alias("b"), ((y >= 5) & (y < n - 5) & (x >= 5) & (x < n - 5)).alias("m"))
+    got = T.rigid_touchup(rows, n, 4)
+    return got.select("tile", (F.col("dy") + 0.0).alias("dy"), (F.col("dx") + 0.0).alias("dx"), F.round("base", 6).alias("base"), F.round("corr", 6).alias("corr"), "accepted")
 
 
 REFINE = """, f as (select label as region, q.y, q.x, px.v from quarters q join px on px.y = q.y and px.x = q.x), m as (select y + 1 as y, x - 1 as x, v from px),

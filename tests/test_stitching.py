@@ -12,22 +12,34 @@ def _texture(h, w, seed=3):
     return t * 1000 + 200
 
 
-@pytest.mark.parametrize("axis", ["x", "y"])
-@pytest.mark.parametrize("overlap,aside", [(12, 0), (17, 1), (23, -2)])
-def test_strip_pair_finds_the_planted_step(axis, overlap, aside):
-    n = 120
+def _pixels(spark, tiles):
+    return spark.createDataFrame([(t, y, x, float(p[y, x])) for t, p in tiles.items() for y in range(p.shape[0]) for x in range(p.shape[1])], "tile long, y int, x int, v double")
+
+
+@pytest.mark.parametrize("overlap,aside", [(12, 0), (17, 1)])
+def test_the_planted_step_is_found_on_both_axes(spark, overlap, aside):
+    n = 100
     big = _texture(2 * n, 2 * n)
-    far = n - overlap
-    oy, ox = (aside, far) if axis == "x" else (far, aside)
-    src, dst = big[20 : 20 + n, 20 : 20 + n], big[20 + oy : 20 + oy + n, 20 + ox : 20 + ox + n]
-    dy, dx, found, score, unmasked, px, share = stitching.strip_pair(src, dst, axis, 8.0, 300.0, least_px=6)
-    assert (abs(dy - oy), abs(dx - ox)) <= (1.0, 1.0) and score > 0.8 and not unmasked and px > 0 and 0 < share <= 1
+    cut = lambda oy, ox: big[20 + oy : 20 + oy + n, 20 + ox : 20 + ox + n]
+    tiles = _pixels(spark, {0: cut(0, 0), 1: cut(aside, n - overlap), 2: cut(n - overlap, aside)})
+    pairs = spark.createDataFrame([("x", 0, 1), ("y", 0, 2)], "axis string, src long, dst long")
+    for r in stitching.neighbour_estimates(tiles, pairs, n, n, 300.0, least_px=6).collect():
+        want = (aside, n - overlap) if r["axis"] == "x" else (n - overlap, aside)
+        assert (abs(r["dy"] - want[0]), abs(r["dx"] - want[1])) <= (1.0, 1.0) and r["score"] > 0.8 and not r["unmasked"] and not r["fallback"] and r["fg_px"] > 0
+
+
+def test_strips_without_signal_are_tried_unmasked_or_not_at_all(spark):
+    tiles = _pixels(spark, {0: np.full((64, 64), 5.0), 1: np.full((64, 64), 5.0)})
+    pairs = spark.createDataFrame([("x", 0, 1), ("x", 8, 9)], "axis string, src long, dst long")
+    got = {r["src"]: r for r in stitching.neighbour_estimates(tiles, pairs, 64, 64, 300.0, least_px=4).collect()}
+    assert got[0]["unmasked"] and got[0]["fg_px"] == 0 and not got[0]["fallback"]
+    assert got[8]["fallback"] and (got[8]["dy"], got[8]["dx"], got[8]["overlap"]) == (0.0, 56.0, 8.0)
 
 
-def test_strips_without_signal_are_tried_unmasked_or_not_at_all():
-    flat = np.full((64, 64), 5.0)
-    got = stitching.strip_pair(flat, flat, "x", 8.0, 300.0, least_px=4)
-    assert got[4] and got[5] == 0  # unmasked, no common foreground
+def test_overlaps_that_are_tried():
+    assert stitching.overlap_candidates(2000, 100.0).tolist() == list(range(100, 401, 20))
+    assert stitching.overlap_candidates(64, 8.0, 4).tolist() == list(range(4, 14))
+    assert stitching.overlap_candidates(300, 15.0).tolist() == [100]
 
 
 def test_shift_to_a_fraction_of_a_pixel():
@@ -49,12 +61,31 @@ def _blobs(h, w):
 def test_touchup_accepts_rejects_and_stays_in_bounds(spark, shift, bound, found):
     fixed = _blobs(160, 160)
     moving = stitching.moved(fixed, *shift)
-    dy, dx, base, best = touchup.climb(fixed, moving, np.ones(fixed.shape, bool), bound)
+    dy, dx, base, best = touchup.best_shift(touchup.score_surface(fixed, moving, np.ones(fixed.shape, bool), bound))
     assert max(abs(dy), abs(dx)) <= bound and best >= base
     if found is not None:
         assert ((dy, dx) == (-shift[0], -shift[1])) and ((dy, dx) != (0, 0)) == found
 
 
+def test_score_surface_is_the_masked_correlation_of_every_shift():
+    rng = np.random.default_rng(4)
+    fixed, moving, use = rng.random((17, 23)), rng.random((17, 23)), rng.random((17, 23)) < 0.6
+    got = touchup.score_surface(fixed, moving, use, 5)
+    want = [[stitching.correlation(fixed[use], stitching.moved(moving, dy, dx)[use]) for dx in range(-5, 6)] for dy in range(-5, 6)]
+    assert np.allclose(got, want, atol=1e-9)
+    assert touchup.best_shift(np.zeros((3, 3))) == (0, 0, 0.0, 0.0)
+    assert touchup.best_shift(np.array([[0.9, 0, 0.9], [0, 0.1, 0.5], [0, 0.9, 0]])) == (1, 0, 0.1, 0.9)
+
+
+def test_a_halo_gives_what_is_shifted_in(spark):
+    big = _texture(60, 60)
+    at = lambda y, x: float(big[20 + y, 20 + x])
+    inside = lambda y, x: 0 <= y < 12 and 0 <= x < 12
+    rows = spark.createDataFrame([(1, y, x, at(y, x) if inside(y, x) else None, at(y + 3, x - 2), inside(y, x)) for y in range(-4, 16) for x in range(-4, 16)], "tile long, y int, x int, a double, b double, m boolean")
+    (r,) = touchup.rigid_touchup(rows, 12, 4, halo=4).collect()
+    assert (r["dy"], r["dx"], r["accepted"]) == (3.0, -2.0, True) and r["corr"] > 0.95
+
+
 def test_touchup_without_a_mask_gives_no_shift(spark):
     rows = spark.createDataFrame([(1, y, x, float(y), float(x), y < 2 and x < 4) for y in range(9) for x in range(9)], "tile long, y int, x int, a double, b double, m boolean")
     (r,) = touchup.rigid_touchup(rows, 9, 2).collect()
