@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitmaps import spread
 from .scratch import fresh
 
 #: Words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
@@ -98,7 +99,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     of fixed size is, and the few windows that pass it are shuffled.
     """
     done = _judged(_hits(docs, benchmark, n, id_col, text_col, item_col, item_text_col, broadcast_bytes))
-    return done.select("doc_id", "n_words", "n_hit", "items", "spans", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    return spread(done, "copies", *KEY).select("doc_id", "n_words", "n_hit", "items", "spans")
 
 
 def _judged(hits: DataFrame) -> DataFrame:
@@ -108,13 +109,17 @@ def _judged(hits: DataFrame) -> DataFrame:
     runs = hits.withColumn("before", before)
     end = F.col("at") + F.col("len")
     runs = runs.withColumn("fresh", F.coalesce(F.greatest(end - F.greatest("at", "before"), F.lit(0)), F.lit(0)))
-    piece = F.when(F.col("fresh") > 0, F.struct(F.greatest("at", "before").alias("first"), end.alias("last")))
+    first = F.greatest("at", "before")
+    # Windows that touch make one span: a new one begins where a window starts behind all before it.
+    opens = (F.col("fresh") > 0) & ((F.col("at") > F.col("before")) | (F.col("at") == 0))
+    runs = runs.withColumn("span", F.sum(F.when(opens, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy(*KEY, "span").agg(
+        F.max(F.when(F.col("at").isNull(), F.col("copies"))).alias("copies"), F.max("n_words").alias("n_words"), F.sum("fresh").alias("fresh"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.min(F.when(F.col("fresh") > 0, first)).alias("first"), F.max(end).alias("last"),
+    )
+    one = F.when(F.col("span") > 0, F.struct("first", "last"))
     # Windows of one passage have the same items: the set has one list of them.
-    done = runs.groupBy(*KEY).agg(F.max(F.when(F.col("at").isNull(), F.col("copies"))).alias("copies"), F.max("n_words").alias("n_words"), F.sum("fresh").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.sort_array(F.collect_list(piece)).alias("pieces"))
-    # Touching pieces become one span.
-    merged = F.aggregate("pieces", F.array().cast("array<struct<first:bigint,last:bigint>>"), lambda a, p: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] == p["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), p["last"].alias("last"))))).otherwise(F.concat(a, F.array(p))))
-    spans = F.when(F.size("pieces") > 0, merged).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>"))
-    return done.select(*KEY, "copies", "n_words", "n_hit", "items", spans.alias("spans"))
+    return spans.groupBy(*KEY).agg(F.max("copies").alias("copies"), F.max("n_words").alias("n_words"), F.sum("fresh").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.sort_array(F.collect_list(one)).alias("spans"))
 
 
 def _beside(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -147,7 +152,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str
     (cut_at,) = fresh(docs, "spans")
     found = _judged(_hits(docs, benchmark, n, id_col, text_col, item_col, item_text_col, broadcast_bytes)).where("n_hit > 0").select(*KEY, F.col("spans").alias(cut_at))
     joined = _beside(docs, found, id_col, text_col, "left")
-    got, gaps = F.regexp_extract_all(F.col(text_col), F.lit(WORD_ANY_CASE), F.lit(0)), F.split(F.col(text_col), WORD_ANY_CASE, -1)
-    kept = F.transform(got, lambda w, i: F.when(F.exists(cut_at, lambda s: (i >= s["first"]) & (i < s["last"])), "").otherwise(w))
+    (got_words,) = fresh(joined, "got_words")
+    joined = joined.withColumn(got_words, F.regexp_extract_all(F.col(text_col), F.lit(WORD_ANY_CASE), F.lit(0)))
+    gaps = F.split(F.col(text_col), WORD_ANY_CASE, -1)
+    # Words between spans stay, those of a span become empty: one pass over either list.
+    spans = F.transform(cut_at, lambda s: F.struct(s["first"].cast("int").alias("first"), s["last"].cast("int").alias("last")))
+    after = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["last"]))
+    before = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.size(got_words)))
+    stays = F.zip_with(after, before, lambda a, b: F.slice(got_words, a + 1, b - a))
+    goes = F.concat(F.transform(spans, lambda s: F.array_repeat(F.lit(""), s["last"] - s["first"])), F.array(F.array().cast("array<string>")))
+    kept = F.flatten(F.zip_with(stays, goes, lambda a, b: F.concat(a, b)))
     cut = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), kept, lambda g, w: F.concat(g, w)), ""), F.element_at(gaps, -1))
     return joined.withColumn(text_col, F.when(F.col(cut_at).isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)

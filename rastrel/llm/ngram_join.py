@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .components import connected_components
+from .bitmaps import mark
 from .scratch import Scratch, fresh
 
 U64 = np.uint64
@@ -570,8 +571,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     final = final.join(names, "comp").select(F.col("node").alias("class"), F.col("name").alias("comp"))
     scratch.drop("sigs", "sets", "found", "found-asked", "stars", "rest", "rest-asked", "settled")
 
-    named = state.select("doc_id", "n_shingles", F.when(F.col("toks").isNotNull(), F.col("fp")).alias("fp")).join(rep, "fp", "left").join(final, "class", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+    named = near.select("doc_id", "n_shingles", "fp").join(rep, "fp").join(final, "class", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
+    # Documents that share too little with any other have no class; joined, they would all meet under one null key.
+    named = named.union(state.where("toks is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     lone = unnamed.mapInArrow(_sizes(n), "doc_id long, n_shingles long").withColumn("component_id", F.lit(None).cast("long"))
     return named.union(lone)
 
@@ -614,11 +616,16 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     an id and its text one stays, whichever; different texts of an id that stays
     do; an empty table gives an empty table.
     """
-    (kept,) = fresh(docs, "kept_id")
+    care, dropped, maybe, rows_of = fresh(docs, "care_id", "dropped_id", "maybe_dropped", "rows_of_id")
     scratch = Scratch(docs.sparkSession, "representatives")
-    named = ngram_jaccard_components(docs, id_col, text_col, **how).where("doc_id = component_id").groupBy(F.col("doc_id").alias(kept)).agg(F.count("*").alias("n"))
-    named = scratch.save(named, "named")
-    # The ids of representatives grow with the documents, so they are never broadcast.
-    of = lambda which: docs.join(named.where(which).select(kept).hint("merge"), F.col(id_col).cast("long") == F.col(kept), "left_semi")
-    out = docs.where(F.col(id_col).cast("long").isNull()).unionByName(of("n = 1"))
-    return out if named.where("n > 1").isEmpty() else out.unionByName(of("n > 1").dropDuplicates([id_col, text_col]))
+    named = ngram_jaccard_components(docs, id_col, text_col, **how).where("doc_id is not null")
+    named = named.groupBy(F.col("doc_id").alias(care)).agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias(dropped), F.count("*").alias(rows_of))
+    named = scratch.save(named.where(F.col(dropped) | (F.col(rows_of) > 1)), "named")
+    # Most rows surely stay, and stay where they are; the others meet the ids that go.
+    own = F.col(id_col).cast("long")
+    marked = mark(docs, own, named.select(care), maybe)
+    out = marked.where(~F.col(maybe) | own.isNull()).select(*docs.columns)
+    met = marked.where(F.col(maybe) & own.isNotNull()).join(named.hint("merge"), own == F.col(care), "left")
+    out = out.unionByName(met.where(F.col(care).isNull() | (~F.col(dropped) & (F.col(rows_of) == 1))).select(*docs.columns))
+    again = named.where(~F.col(dropped) & (F.col(rows_of) > 1))
+    return out if again.isEmpty() else out.unionByName(met.where(~F.col(dropped) & (F.col(rows_of) > 1)).select(*docs.columns).dropDuplicates([id_col, text_col]))

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bitmaps import spread
+
 # The patterns of the base kinds, in the order in which ties are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -131,7 +133,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = F.when((F.col("kind") >= 0) & (F.col("kind") < 3) & ((F.col("kind") > 0) | (inner >= ASSIGN_LEAST)), F.struct("first", "rank", F.get(names, F.col("rank")).alias("kind"), "last"))
     entropy = F.when(F.col("run.lo").isNotNull(), F.struct((F.col("first") + F.col("run.lo")).alias("first"), "rank", F.get(names, F.col("rank")).alias("kind"), (F.col("first") + F.col("run.hi")).alias("last")))
     found = rows.select("doc_id", "t1", "t2", "copies", F.coalesce(plain, entropy).alias("s")).groupBy("doc_id", "t1", "t2").agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list("s")).alias("spans"))
-    return found.select("doc_id", "spans", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    return spread(found, "copies", "doc_id", "t1", "t2").select("doc_id", "spans")
 
 
 def span_text(spans: Column) -> Column:

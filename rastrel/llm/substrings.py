@@ -32,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .bitmaps import BITMAP_LOG, mark
 from .scratch import Scratch
 
 #: Bytes of an anchor, bytes of segments sorted at once, and segments of one key sorted at once.
 K, BUCKET_BYTES, MOST = 32, 4 << 20, 4096
-#: Binary logarithm of the bits of a bitmap: 16 MB whatever the input.
-BITMAP_LOG = 27
 #: Texts whose segments a task remembers having handed on.
 SEEN = 50_000
 U64 = np.uint64
@@ -414,14 +413,8 @@ def dedup_substrings(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
 def _cut(rows: DataFrame, key, ranges: DataFrame, length: int, bitmap_log: int) -> DataFrame:
     """Texts that surely keep all stay where they are; the others meet their ranges."""
-    hashed = F.xxhash64("key")
-    at = hashed.bitwiseAND(F.lit((1 << bitmap_log) - 1))
-    bits = ranges.select(F.shiftright(at, 15).alias("bucket"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    named = rows.withColumn("key", key).withColumn("at", at)
-    bit = F.col("at").bitwiseAND(F.lit(32767)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    marked = named.join(F.broadcast(bits), F.shiftright("at", 15) == F.col("bucket"), "left")
-    maybe = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7))) == 1, F.lit(False)) & (F.octet_length("text") >= length)
+    marked = mark(rows.withColumn("key", key), F.col("key"), ranges.select("key"), "maybe", bitmap_log)
+    maybe = F.col("maybe") & (F.octet_length("text") >= length)
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
     whole = marked.where(~maybe).select("doc_id", none.alias("spans"), F.col("text").cast("binary").alias("kept"))
     met = marked.where(maybe).select("doc_id", "text", "key").join(ranges, "key", "left").select("doc_id", "text", "codes")
