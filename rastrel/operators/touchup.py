@@ -61,9 +61,10 @@ def best_shift(surface: np.ndarray) -> tuple[int, int, float, float]:
     return (int(dy.ravel()[first]), int(dx.ravel()[first]), base, best) if best > base + 1e-6 else (0, 0, base, base)
 
 
-def stretched(plane: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """0 to 1 between the 1st and 99th percentile of the pixels held, clipped; others, and planes without contrast, are 0."""
-    low, high = np.percentile(plane[held], (1, 99)) if held.any() else (0.0, 0.0)
+def stretched(plane: np.ndarray, held: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+    """0 to 1 between the 1st and 99th percentile of the pixels held, or of those of ``by``, clipped; pixels not held, and planes without contrast, are 0."""
+    own = plane[held if by is None else by]
+    low, high = np.percentile(own, (1, 99)) if len(own) else (0.0, 0.0)
     return np.where(held, np.clip((plane - low) / (high - low), 0, 1), 0.0) if high > low else np.zeros_like(plane)
 
 
