@@ -58,9 +58,9 @@ HALVED = "select channel, y // 2 as y, x // 2 as x, cast(round_even(avg(v), 0) a
 TILED = "select cast({} as bigint) as level, channel, y // 16 as tile_y, x // 16 as tile_x, count(*) as n, cast(sum(v) as bigint) as total, cast(sum(v * ((y % 16) * 16 + x % 16 + 1)) as bigint) as check from {} group by 2, 3, 4"
 
 
-@query(sql(f", l0 as (select channel, y, x, v from px2 where cycle = 'F'), l1 as ({HALVED.format('l0')}), l2 as ({HALVED.format('l1')}) " + " union all ".join(TILED.format(k, f"l{k}") for k in range(3)), "px2"))
+@query(sql(f", l0 as (select cycle || channel as channel, y, x, v from px2), l1 as ({HALVED.format('l0')}), l2 as ({HALVED.format('l1')}) " + " union all ".join(TILED.format(k, f"l{k}") for k in range(3)), "px2"))
 def pyramid_tiles(spark, d):
-    return P.pyramid(I.px2(spark, d).where("cycle = 'F'").drop("cycle"), 2, 16)
+    return P.pyramid(I.px2(spark, d).select(F.concat("cycle", "channel").alias("channel"), "y", "x", "v"), 2, 16)
 
 
 @query(sql("select channel, y // 16 as tile_y, x // 16 as tile_x, count(*) as n, row_number() over (order by channel, tile_y, tile_x) as place from px2 group by 1, 2, 3", "px2"))
