@@ -25,10 +25,9 @@ def warp(px: DataFrame, field: DataFrame) -> DataFrame:
     return field.select("y", "x").join(met, ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-def phase_shift(fixed: np.ndarray, moving: np.ndarray) -> tuple[float, float]:
-    """The shift that brings ``moving`` onto ``fixed``: the peak of the phase correlation, refined by a parabola."""
-    cross = np.fft.fft2(fixed) * np.conj(np.fft.fft2(moving))
-    surface = np.fft.ifft2(cross / np.maximum(np.abs(cross), 1e-12)).real
+def whitened_peak(cross: np.ndarray, floor: float = 1e-12) -> tuple[float, float]:
+    """The peak of the correlation whose cross spectrum is given, refined by a parabola; frequencies weigh the same, but less if their power is below ``floor``."""
+    surface = np.fft.ifft2(cross / np.maximum(np.abs(cross), floor)).real
     peak = np.unravel_index(int(surface.argmax()), surface.shape)
     out = []
     for axis, (p, n) in enumerate(zip(peak, surface.shape)):
@@ -39,6 +38,11 @@ def phase_shift(fixed: np.ndarray, moving: np.ndarray) -> tuple[float, float]:
     return out[0], out[1]
 
 
+def phase_shift(fixed: np.ndarray, moving: np.ndarray) -> tuple[float, float]:
+    """The shift that brings ``moving`` onto ``fixed``: the peak of the phase correlation."""
+    return whitened_peak(np.fft.fft2(fixed) * np.conj(np.fft.fft2(moving)))
+
+
 def estimate_shifts(fixed: DataFrame, moving: DataFrame, key: list[str], tile: int) -> DataFrame:
     """``(key, ty, tx, dy, dx)`` of each tile: tiles are the groups, so a group never outgrows one tile."""
     place = [*key, F.expr(f"y div {tile}").alias("ty"), F.expr(f"x div {tile}").alias("tx"), F.expr(f"cast(y % {tile} as int)").alias("yy"), F.expr(f"cast(x % {tile} as int)").alias("xx")]
