@@ -154,13 +154,13 @@ def strip_pair(spark, d):
 
 
 # Small tiles of whole numbers: every candidate overlap, its shift by circular correlation, cost and correlation, are computed in SQL too.
-N = 16
+EDGE = 16
 VALUE = "((y + oy) * (y + oy) * 31 + (x + ox) * (x + ox) * 17 + (y + oy) * (x + ox) * 7 + k * 13) % 251"
 STRIPS = f"""with s as (select s_suppkey as k, 3 + s_suppkey % 2 as true_overlap, s_suppkey % 3 - 1 + 4 as aside from supplier), o as (select unnest(range(3, 5)) as n),
-a as (select k, n, y, x - ({N} - n) as x, ({VALUE.replace('oy', '4').replace('ox', '0')}) as v from s, o, range({N}) r(y), range({N}) c(x) where x >= {N} - n),
-b as (select k, n, y, x, ({VALUE.replace('oy', 'aside').replace('ox', f'({N} - true_overlap)')}) as v from s, o, range({N}) r(y), range({N}) c(x) where x < n),
-lag as (select a.k, a.n, (a.y - b.y + {N}) % {N} as dy, (a.x - b.x + a.n) % a.n as dx, sum(a.v * b.v) as c from a join b on a.k = b.k and a.n = b.n group by 1, 2, 3, 4),
-peak as (select k, n, arg_max(dy, (c, -dy, -dx)) as dy, arg_max(dx, (c, -dy, -dx)) as dx from lag group by 1, 2), far as (select k, n, case when dy > {N // 2} then dy - {N} else dy end as dy, case when dx > n // 2 then dx - n else dx end as dx from peak),
+a as (select k, n, y, x - ({EDGE} - n) as x, ({VALUE.replace('oy', '4').replace('ox', '0')}) as v from s, o, range({EDGE}) r(y), range({EDGE}) c(x) where x >= {EDGE} - n),
+b as (select k, n, y, x, ({VALUE.replace('oy', 'aside').replace('ox', f'({EDGE} - true_overlap)')}) as v from s, o, range({EDGE}) r(y), range({EDGE}) c(x) where x < n),
+lag as (select a.k, a.n, (a.y - b.y + {EDGE}) % {EDGE} as dy, (a.x - b.x + a.n) % a.n as dx, sum(a.v * b.v) as c from a join b on a.k = b.k and a.n = b.n group by 1, 2, 3, 4),
+peak as (select k, n, arg_max(dy, (c, -dy, -dx)) as dy, arg_max(dx, (c, -dy, -dx)) as dx from lag group by 1, 2), far as (select k, n, case when dy > {EDGE // 2} then dy - {EDGE} else dy end as dy, case when dx > n // 2 then dx - n else dx end as dx from peak),
 met as (select a.k, a.n, f.dy, f.dx, a.v as v, coalesce(b.v, 0) as w from a join far f on f.k = a.k and f.n = a.n left join b on b.k = a.k and b.n = a.n and b.y = a.y - f.dy and b.x = a.x - f.dx),
 sums as (select k, n, dy, dx, count(*) as m, sum(v) as sa, sum(w) as sb, sum(v * v) as saa, sum(w * w) as sbb, sum(v * w) as sab, count(*) filter (v > 125 and w > 125) as common from met group by 1, 2, 3, 4),
 cost as (select k, n as overlap, cast(dy as double) as cross_, cast(dx as double) as along, cast(common as bigint) as common, round((m * sab::double - sa::double * sb) / sqrt((m * saa::double - sa::double * sa) * (m * sbb::double - sb::double * sb)), 6) as score, abs(dx) + 0.25e0 * abs(dy) + case when common = 0 then 1e6 else 0 end as cost from sums)"""
@@ -169,8 +169,8 @@ cost as (select k, n as overlap, cast(dy as double) as cross_, cast(dx as double
 def _whole_tiles(spark, d):
     s = I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
     both = s.withColumn("first", F.explode(F.array(F.lit(True), F.lit(False))))
-    oy, ox = F.when(F.col("first"), 4).otherwise(F.col("k") % 3 - 1 + 4), F.when(F.col("first"), 0).otherwise(N - 3 - F.col("k") % 2)
-    rows = both.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(N - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
+    oy, ox = F.when(F.col("first"), 4).otherwise(F.col("k") % 3 - 1 + 4), F.when(F.col("first"), 0).otherwise(EDGE - 3 - F.col("k") % 2)
+    rows = both.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(EDGE - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(EDGE - 1))))
     y, x = F.col("y") + oy, F.col("x") + ox
     tiles = rows.select((F.col("k") * 2 + F.when(F.col("first"), 0).otherwise(1)).alias("tile"), "y", "x", ((y * y * 31 + x * x * 17 + y * x * 7 + F.col("k") * 13) % 251).alias("v"))
     return tiles, s.select(F.lit("x").alias("axis"), (F.col("k") * 2).alias("src"), (F.col("k") * 2 + 1).alias("dst"))
@@ -179,7 +179,7 @@ def _whole_tiles(spark, d):
 @query(f"{STRIPS} select k * 2 as src, overlap, cross_ as cross, along, common, score, cost from cost")
 def strip_candidates(spark, d):
     """Every overlap that is tried, with its shift, common foreground, correlation and cost."""
-    got = ST.candidate_costs(*_whole_tiles(spark, d), N, N, 125.0, least_px=3, upsample=1)
+    got = ST.candidate_costs(*_whole_tiles(spark, d), EDGE, EDGE, 125.0, least_px=3, upsample=1)
     return got.select("src", "overlap", (F.col("cross") + 0.0).alias("cross"), (F.col("along") + 0.0).alias("along"), "common", F.round("score", 6).alias("score"), "cost")
 
 
@@ -187,7 +187,7 @@ def strip_candidates(spark, d):
 select k * 2 as src, cross_ as dy, 16e0 - overlap + along as dx, overlap - along as overlap, score, cast(common as double) as fg_px from best where r = 1""")
 def strip_estimates(spark, d):
     """The overlap of least cost and the step that it gives."""
-    got = ST.neighbour_estimates(*_whole_tiles(spark, d), N, N, 125.0, least_px=3, upsample=1)
+    got = ST.neighbour_estimates(*_whole_tiles(spark, d), EDGE, EDGE, 125.0, least_px=3, upsample=1)
     return got.select("src", (F.col("dy") + 0.0).alias("dy"), "dx", "overlap", F.round("score", 6).alias("score"), "fg_px")
 
 
