@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,27 +12,72 @@ from .islands import numbered
 from .neighbourhood import spread
 
 
-def components(mask: DataFrame, height: int, width: int, diagonal: bool = False) -> DataFrame:
-    """``(y, x, label)``: connected components, each named by its smallest pixel number ``y * width + x``.
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``0 .. n - 1`` that each number is linked with by the pairs ``(a, b)``.
+
+    Roots hang under smaller roots that they meet, all at once, and then every
+    number jumps to its root; pairs inside one tree drop out.
+    """
+    root = np.arange(n)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    return root
+
+
+def linked(pairs: DataFrame) -> DataFrame:
+    """``(label, root)`` of every end of ``pairs(a, b)``: the smallest label that it is linked with.
 
-    Labels spread to neighbours and then jump to the label of the pixel that
-    names them, so rounds grow with the logarithm of a component's extent.  Each
-    round is written to the shared folder.
+    Minima spread along pairs and then jump, so rounds grow with the logarithm of
+    the longest chain; each is written to the shared folder.
     """
-    sides = [(-1, 0), (1, 0), (0, -1), (0, 1)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if diagonal else [])
-    steps = Steps(mask.sparkSession, "components")
-    state = steps.save(mask.select("y", "x", (F.col("y") * width + F.col("x")).cast("long").alias("label")).distinct())
+    kept, rounds = Steps(pairs.sparkSession, "pairs", keep_all=True), Steps(pairs.sparkSession, "roots")
+    both = kept.save(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    state = rounds.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("label"), F.least("a", "b").alias("root")))
     while True:
-        heard = spread(state, sides, height, width).groupBy("y", "x").agg(F.min("label").alias("heard"))
-        met = state.join(heard, ["y", "x"], "left").select("y", "x", "label", F.least("label", F.coalesce("heard", "label")).alias("low"))
-        roots = state.select((F.col("y") * width + F.col("x")).cast("long").alias("low"), F.col("label").alias("root"))
-        state = steps.save(met.join(roots, "low", "left").select("y", "x", F.least("low", "root").alias("label"), F.col("label").alias("was")))
-        changed = not state.where("label < was").isEmpty()
-        state = state.select("y", "x", "label")
-        if not changed:
+        heard = both.join(state.select(F.col("label").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("heard"))
+        met = state.join(heard, F.col("label") == F.col("a")).select("label", F.col("root").alias("was"), F.least("root", "heard").alias("low"))
+        far = state.select(F.col("label").alias("low"), F.col("root").alias("far"))
+        new = rounds.save(met.join(far, "low").select("label", F.least("low", "far").alias("root"), "was"))
+        state = new.select("label", "root")
+        if new.where("root < was").isEmpty():
             return state
 
 
+def components(mask: DataFrame, height: int, width: int, diagonal: bool = False, block: int = 512) -> DataFrame:
+    """``(y, x, label)``: connected components, each named by its smallest pixel number ``y * width + x``.
+
+    Each block of ``block`` squared pixels is labelled by itself, a group of bounded
+    size; pixels at the borders of blocks then meet those across in one equal join,
+    and only the labels that they link go through rounds.  A label of a block has
+    at most the block's pixels, so none is a hot key when they take their final
+    name.  Repeated pixels count once; an empty mask gives an empty table.
+    """
+    sides = [(1, 0), (0, 1)] + ([(1, -1), (1, 1)] if diagonal else [])
+
+    def run(table: pa.Table) -> pa.Table:
+        n = np.unique(table.column("y").to_numpy() * width + table.column("x").to_numpy())
+        y, x = n // width, n % width
+        at = np.full((block + 1, block + 2), -1)
+        ly, lx = y % block, x % block + 1
+        at[ly, lx] = np.arange(len(n))
+        ends = [at[ly + dy, lx + dx] for dy, dx in sides]
+        a, b = (np.concatenate(e) for e in ([np.flatnonzero(e >= 0) for e in ends], [e[e >= 0] for e in ends]))
+        edge = (ly == 0) | (ly == block - 1) | (lx == 1) | (lx == block)
+        return pa.table({"y": y, "x": x, "label": n[local_roots(len(n), a, b)], "edge": edge})
+
+    places = mask.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    blocks = places.groupBy(F.expr(f"y div {block}"), F.expr(f"x div {block}")).applyInArrow(run, "y long, x long, label long, edge boolean")
+    found = Steps(mask.sparkSession, "components", keep_all=True).save(blocks)
+    rim = found.where("edge")
+    across = rim.select(F.col("label").alias("a"), F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in sides])).alias("p")).select("a", "p.*")
+    pairs = across.join(rim.select("y", "x", F.col("label").alias("b")), ["y", "x"]).where("a <> b")
+    return found.join(linked(pairs), "label", "left").select("y", "x", F.coalesce("root", "label").alias("label"))
+
+
 def relabel(labels: DataFrame) -> DataFrame:
     """Labels 1..N in the order of the old ones; numbers are given to distinct labels, range by range, not to pixels."""
     return labels.join(numbered(labels, "label"), "label").drop("label").withColumnRenamed("number", "label")

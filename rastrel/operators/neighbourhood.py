@@ -53,8 +53,10 @@ def closed(mask: DataFrame, offsets: list, height: int, width: int) -> DataFrame
 
 
 def window_max(px: DataFrame, radius: int, height: int, width: int) -> DataFrame:
-    met = spread(px, square(radius), height, width)
-    return met.groupBy("y", "x").agg(F.max("v").alias("vmax"))
+    """``(y, x, vmax)``: the largest value of the square window, first along columns and then along rows."""
+    line = range(-radius, radius + 1)
+    tall = spread(px, [(k, 0) for k in line], height, width).groupBy("y", "x").agg(F.max("v").alias("v"))
+    return spread(tall, [(0, k) for k in line], height, width).groupBy("y", "x").agg(F.max("v").alias("vmax"))
 
 
 def local_peaks(px: DataFrame, radius: int, height: int, width: int) -> DataFrame:

@@ -441,17 +441,17 @@ FOUR, EIGHT = "abs(f.y - r.y) + abs(f.x - r.x) = 1", "greatest(abs(f.y - r.y), a
 
 @query(sql(_components_sql(FOUR) + "select y, x, label from comp", "fg", recursive=True))
 def components4(spark, d):
-    return GR.components(I.foreground(spark, d), H, W)
+    return GR.components(I.foreground(spark, d), H, W, block=16)
 
 
 @query(sql(_components_sql(EIGHT) + "select y, x, label from comp", "fg", recursive=True))
 def components8(spark, d):
-    return GR.components(I.foreground(spark, d), H, W, diagonal=True)
+    return GR.components(I.foreground(spark, d), H, W, diagonal=True, block=16)
 
 
 @query(sql(_components_sql(FOUR) + "select y, x, label from comp where label in (select label from comp group by 1 having count(*) >= 6)", "fg", recursive=True))
 def small_object_filter(spark, d):
-    return GR.drop_small(GR.components(I.foreground(spark, d), H, W), 6).select("y", "x", "label")
+    return GR.drop_small(GR.components(I.foreground(spark, d), H, W, block=16), 6).select("y", "x", "label")
 
 
 @query(sql("select y, x, dense_rank() over (order by label) as label from cells", "cells"))
