@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed byte n-grams of the lower-cased text that a document
+Features are the hashed character n-grams of the lower-cased text that a document
 holds at all.  The log ratio of a feature's smoothed counts in the two classes,
 taken over all labelled rows, scales it; a logistic regression on the scaled
 features of the most telling n-grams, fitted on a bounded sample of the labelled
@@ -13,40 +13,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
 from .scratch import Scratch
 
-#: Byte n-gram lengths and the slots that they hash to; the tables of a model have this size.
+#: Lengths of n-grams in characters, and the slots that they hash to; the tables of a model have this size.
 LENGTHS, SLOTS = (4, 5, 6), 1 << 18
 #: Labelled rows that the regression may see (the smallest hashes of their ids), and n-grams that keep a weight.
 MOST_ROWS, MOST_FEATURES = 12_000, 6_000
 SMOOTH, RIDGE, STEPS = 1.0, 1e-4, 300
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """The texts in lower case, in every alphabet; null is empty."""
+    return pc.utf8_lower(column.fill_null(""))
+
+
 def features(raw: np.ndarray, at: np.ndarray, keep: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """The sorted distinct feature slots of each text of a block; only those that ``keep`` marks."""
-    raw = T.LOWER[raw].astype(np.uint32)
-    slots, ends = [], []
-    with np.errstate(over="ignore"):
-        for n in LENGTHS:
-            h = np.zeros(max(len(raw) - n + 1, 0), np.uint32)
-            for j in range(n):
-                h = (h + raw[j : j + len(h)] + np.uint32(n)) * np.uint32(0x9E3779B1)
-                h ^= h >> np.uint32(15)
-            slots.append((h & np.uint32(SLOTS - 1)).astype(np.int32))
-            ends.append(n)
+    """The sorted distinct feature slots of each text of a block of lower-cased texts; only those that ``keep`` marks.
+
+    An n-gram is the bytes from one character to the nth after it, so it never cuts one in two.
+    """
+    first = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where characters start, and the end
+    char_at = np.searchsorted(first, at)
+    slots = [(T.hashes(raw, first[: max(len(first) - n, 0)], first[n:]) & T.U64(SLOTS - 1)).astype(np.int32) for n in LENGTHS]
     if keep is None:
         for i in range(len(at) - 1):
-            yield np.unique(np.concatenate([s[at[i] : max(at[i], at[i + 1] - n + 1)] for s, n in zip(slots, ends)]))
+            yield np.unique(np.concatenate([s[char_at[i] : max(char_at[i], char_at[i + 1] - n + 1)] for s, n in zip(slots, LENGTHS)]))
         return
     kept = []
-    for s, n in zip(slots, ends):
+    for s, n in zip(slots, LENGTHS):
         place = np.flatnonzero(keep[s])
-        doc = np.searchsorted(at, place, "right") - 1
-        inside = place + n <= at[doc + 1]
+        doc = np.searchsorted(char_at, place, "right") - 1
+        inside = place + n <= char_at[doc + 1]
         kept.append(doc[inside].astype(np.int64) * SLOTS + s[place[inside]])
     both = np.unique(np.concatenate(kept))
     cut = np.searchsorted(both, np.arange(len(at), dtype=np.int64) * SLOTS)
@@ -59,7 +61,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts, rows = np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
     for batch in batches:
         y = batch.column(1).to_numpy(zero_copy_only=False)
-        for first, _, raw, at in T.blocks(batch.column(0)):
+        for first, _, raw, at in T.blocks(lowered(batch.column(0))):
             for i, slots in enumerate(features(raw, at)):
                 counts[int(y[first + i]), slots] += 1
                 rows[int(y[first + i])] += 1
@@ -70,7 +72,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _design(keep: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [s.astype(np.int32).tobytes() for _, _, raw, at in T.blocks(batch.column(0)) for s in features(raw, at, keep)]
+            rows = [s.astype(np.int32).tobytes() for _, _, raw, at in T.blocks(lowered(batch.column(0))) for s in features(raw, at, keep)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.binary())], names=["y", "slots"])
 
     return run
@@ -151,7 +153,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, raw, at in T.blocks(batch.column(2)):
+            for first, last, raw, at in T.blocks(lowered(batch.column(2))):
                 z = np.array([table[s].sum() for s in features(raw, at, keep)]) + bias
                 score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
                 n = last - first

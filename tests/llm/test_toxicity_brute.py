@@ -5,28 +5,30 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
+from rastrel.llm import textops as T
 from rastrel.llm import toxicity as X
 
 LABELLED = "doc_id long, toxic int"
 
 
+def _hash(raw):
+    """The hash of one byte string, by its definition: a polynomial over random values of bytes, then mixed."""
+    p = int(T._P)
+    h = sum(int(T._BYTE[b]) * pow(p, k, 2**64) for k, b in enumerate(raw)) + len(raw) * p
+    return int(T.mix(np.array([h % 2**64], np.uint64))[0])
+
+
 def _slots(text):
-    """The hashed n-grams of a text, one by one."""
-    raw, out = [b + 32 if 65 <= b <= 90 else b for b in text.encode()], set()
-    for n in X.LENGTHS:
-        for i in range(len(raw) - n + 1):
-            h = 0
-            for b in raw[i : i + n]:
-                h = (h + b + n) * 0x9E3779B1 % 2**32
-                h ^= h >> 15
-            out.add(h % X.SLOTS)
-    return out
+    """The hashed n-grams of a text, one by one: so many characters, not bytes."""
+    text = text.lower()
+    return {_hash(text[i : i + n].encode()) % X.SLOTS for n in X.LENGTHS for i in range(len(text) - n + 1)}
 
 
 def _table(seed=4):
     rng = random.Random(seed)
-    words, bad = [f"word{k}" for k in range(60)], ["vile", "scum", "loathe"]
+    words, bad = [f"word{k}" for k in range(60)] + ["Été", "漢字かな交じり", "🙂🙂"], ["vile", "scum", "LOATHE", "Ärgernis", "馬鹿野郎め"]
     out = []
     for k in range(240):
         y = rng.random() < 0.4
@@ -62,3 +64,12 @@ def test_repeated_rows_leave_the_fit_as_it_is(spark):
     many = docs.union(docs.where("doc_id = 3").crossJoin(spark.range(200)).select("doc_id", "text")).union(spark.createDataFrame([(None, "vile")] * 20, docs.schema))
     one, two = X.train(docs, labels, most_rows=90), X.train(many, labels.union(labels.limit(40)), most_rows=90)
     assert np.allclose(one[0], two[0]) and abs(one[1] - two[1]) < 1e-9
+
+
+def test_features_are_those_of_each_text_alone():
+    texts = [None, "", "ab", "Ünder ÉCOLE", "漢字かな交じり文の例", "🙂🙂🙂🙂🙂 mixed ÀÉ 漢字", "aaaaaaaaaa", "x" * 700]
+    keep = np.zeros(X.SLOTS, bool)
+    keep[::3] = True
+    for marked in (None, keep):
+        got = [set(f.tolist()) for _, _, raw, at in T.blocks(X.lowered(pa.array(texts)), 64) for f in X.features(raw, at, marked)]
+        assert got == [{s for s in _slots(t or "") if marked is None or marked[s]} for t in texts]
