@@ -21,22 +21,48 @@ def is_done(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _content(px: DataFrame, columns: list[str]) -> str:
+    """A text that differs if the rows do, whatever their order or partitions: their number and two sums of hashes."""
+    row = [F.col(c) for c in columns]
+    sums = [F.sum(F.xxhash64(*extra, *row).cast("decimal(38, 0)")) for extra in ([], [F.lit(1)])]
+    return " ".join(str(v) for v in px.agg(F.count("*"), *sums).first())
+
+
+def _stored(spark: SparkSession, path: str) -> str | None:
+    fs, p = _path(spark, path)
+    return "\n".join(r["value"] for r in spark.read.text(path).collect()) if fs.exists(p) else None
+
+
 def write_levels(px: DataFrame, path: str, levels: int, by: tuple[str, ...] = ("channel",)) -> list[bool]:
     """Write levels 0 to ``levels`` of pixels ``(*by, y, x, v)`` to ``path/level=k``; which of them were built now.
 
     A level counts as there only with its mark, whatever files it has: an
     interrupted one has none.  From the first missing level on all are deleted and
-    built anew, so none is ever made from an older run's.  Equal inputs are taken
-    for granted: compare their fingerprints before calling.
+    built anew, so none is ever made from an older run's.  The pixels' fingerprint
+    is kept in ``path/content``: if it is another one, or none, all levels go before
+    it is written, so that an interruption leaves no old level under a new one.
     """
     spark, built = px.sparkSession, []
+
+    def drop(name: str) -> None:
+        fs, p = _path(spark, f"{path}/{name}")
+        fs.delete(p, True)
+
+    content = _content(px, [*by, "y", "x", "v"])
+    if _stored(spark, f"{path}/content") != content:
+        fs, folder = _path(spark, path)
+        for name in [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []:
+            if name.startswith("level=") or name == "content":
+                drop(name)
+        out = fs.create(_path(spark, f"{path}/content")[1], True)
+        out.write(bytearray(content.encode()))
+        out.close()
     for k in range(levels + 1):
         target = f"{path}/level={k}"
         make = any(built) or not is_done(spark, target)
         if make:
             for later in range(k, levels + 1):
-                fs, p = _path(spark, f"{path}/level={later}")
-                fs.delete(p, True)
+                drop(f"level={later}")
             level = px if k == 0 else block_mean(spark.read.parquet(f"{path}/level={k - 1}"), by=by)
             level.select(*by, "y", "x", "v").write.parquet(target)
         built.append(make)

@@ -40,3 +40,14 @@ def test_reports_keep_nested_columns(spark, tmp_path):
     L.write_report(df, str(tmp_path / "r"))
     (r,) = spark.read.option("header", True).csv(str(tmp_path / "r")).collect()
     assert (r["k"], r["a"], r["s"]) == ("1", "[1,2]", '{"b":"x"}')
+
+
+def test_a_changed_image_keeps_no_old_level(spark, plane, tmp_path):
+    path = str(tmp_path / "p")
+    L.write_levels(plane, path, 2)
+    other = plane.selectExpr("channel", "y", "x", "if(y = 3 and x = 4 and channel = 1, v + 1, v) as v")
+    assert L.write_levels(other, path, 2) == [True, True, True]
+    assert _same(L.read_level(spark, path, 0), other)
+    assert L.write_levels(other.repartition(5), path, 2) == [False, False, False]
+    (tmp_path / "p" / "content").unlink()
+    assert L.write_levels(other, path, 2) == [True, True, True]
