@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Steps
 from . import nearest as NE
 from . import neighbourhood as N
 from .graph import components, drop_small, relabel
@@ -80,8 +81,9 @@ def nucleus_markers(prob: DataFrame, height: int, width: int, threshold: float =
     ``share`` of the whole plane; masks without one are left out, as are parts
     below ``least``.  An empty mask gives an empty table.
     """
-    mask = nucleus_mask(smoothed(prob, "p", sigma, height, width), height, width, threshold, least)
-    core = upper(depths(mask, height, width), share)
+    steps = Steps(prob.sparkSession, "nuclei", keep_all=True)  # what later steps read more than once
+    mask = steps.save(nucleus_mask(smoothed(prob, "p", sigma, height, width), height, width, threshold, least))
+    core = steps.save(upper(depths(mask, height, width), share))
     return relabel(drop_small(flooded(mask, core, seeds(core, height, width, window, spacing), width), least))
 
 
@@ -91,12 +93,13 @@ def boundary_markers(probs: DataFrame, height: int, width: int, threshold: float
     The region of seeds is where ``p`` is at least ``core``, in pieces of a quarter
     of ``least`` (and of 5); a plane without such a region takes the whole mask.
     """
-    p = smoothed(probs, "p", sigma, height, width)
-    mask = nucleus_mask(p, height, width, threshold, least)
+    steps = Steps(probs.sparkSession, "nuclei", keep_all=True)  # what later steps read more than once
+    p = steps.save(smoothed(probs, "p", sigma, height, width))
+    mask = steps.save(nucleus_mask(p, height, width, threshold, least))
     rim = N.dilate(smoothed(probs, "boundary", sigma, height, width).where(F.col("v") >= boundary), N.disk(reach), height, width)
     inner = mask.join(p.where(F.col("v") >= core).select("y", "x"), ["y", "x"], "left_semi").join(rim, ["y", "x"], "left_anti")
-    inner = drop_small(components(inner, height, width), max(5, least // 4))
-    deep = upper(depths(mask if inner.isEmpty() else inner, height, width), share)
+    inner = steps.save(drop_small(components(inner, height, width), max(5, least // 4)))
+    deep = steps.save(upper(depths(mask if inner.isEmpty() else inner, height, width), share))
     return relabel(drop_small(flooded(mask, deep, seeds(deep, height, width, window, spacing), width), least))
 
 
@@ -116,6 +119,7 @@ def cells(nuclei: DataFrame, probs: DataFrame, height: int, width: int, threshol
     if reach is not None:
         near = NE.nearest_source(nuclei, height, width).where(F.col("d2") <= reach * reach).select("y", "x")
         allowed = allowed.join(near, ["y", "x"], "left_semi")
+    allowed = Steps(probs.sparkSession, "cells", keep_all=True).save(allowed)
     masks = components(allowed, height, width)
 
     def run(table: pa.Table) -> pa.Table:
