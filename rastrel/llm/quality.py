@@ -127,5 +127,6 @@ def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     ok &= m[f"dup_chars_{n}"] * 100 <= m["word_chars"] * most
                 keep.append(ok)
             yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
+        T.trim()
 
     return docs.mapInArrow(run, docs.schema)

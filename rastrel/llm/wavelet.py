@@ -18,7 +18,7 @@ import threading
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textops import trim
+from .textops import BLOCK_BYTES, trim
 
 MAGIC = b"RSTLWM01"
 #: Bits of a plane's block, and of a step of the rank directory.
 BLOCK_BITS, STEP_BITS = 1 << 19, 1 << 12
 #: Tokens after which a shard is closed, at the end of a document.
 SHARD_TOKENS = 1 << 21
+#: Tokens of one step of a pass over a shard: temporaries take about 20 times as many bytes.
+PASS_TOKENS = 1 << 18
 SUFFIX = "wvm"
 
 
@@ -43,7 +45,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
     n = len(ids)
     alphabet, codes = _dense(ids)
     levels = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
-    codes = codes.astype(np.uint16 if levels <= 16 else np.uint32)
+    codes = codes.astype(np.uint16 if levels <= 16 else np.uint32, copy=False)
     pack = zstandard.ZstdCompressor(level=1)
     blocks: list[bytes] = []
     at = 0
@@ -73,7 +75,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
         head["planes"].append(section("bits", plane.tobytes(), n, BLOCK_BITS // 8))
         head["ranks"].append(section("<u4", before.astype("<u4").tobytes(), len(before), 1 << 20))
         head["zeros"].append(int(n - before[-1]))
-        codes = np.concatenate([codes.take(np.flatnonzero(~bit)), codes.take(np.flatnonzero(bit))])  # faster than masks
+        codes = _parted(codes, bit, head["zeros"][-1])
     header = json.dumps(head).encode()
     return b"".join([MAGIC, len(header).to_bytes(8, "little"), header, *blocks])
 
@@ -82,12 +84,30 @@ def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids in use, ascending, and the place of each token's id among them."""
     if not len(ids):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if int(ids.max()) < 1 << 24:
-        used = np.bincount(ids) > 0
-        return np.flatnonzero(used), (np.cumsum(used, dtype=np.int32) - 1)[ids]
+    if (most := int(ids.max())) < 1 << 24:
+        used = np.zeros(most + 1, bool)
+        steps = range(0, len(ids), PASS_TOKENS)
+        for i in steps:
+            used[ids[i : i + PASS_TOKENS]] = True
+        place = np.cumsum(used, dtype=np.int32) - 1
+        codes = np.empty(len(ids), np.uint16 if place[-1] < 1 << 16 else np.int32)
+        for i in steps:
+            codes[i : i + PASS_TOKENS] = place[ids[i : i + PASS_TOKENS]]
+        return np.flatnonzero(used), codes
     return np.unique(ids, return_inverse=True)
 
 
+def _parted(codes: np.ndarray, bit: np.ndarray, zeros: int) -> np.ndarray:
+    """The codes whose bit is 0, ``zeros`` in number, then the others, each in their order."""
+    out, at, ones = np.empty_like(codes), 0, zeros
+    for i in range(0, len(codes), PASS_TOKENS):
+        step, b = codes[i : i + PASS_TOKENS], bit[i : i + PASS_TOKENS]
+        low, high = step.take(np.flatnonzero(~b)), step.take(np.flatnonzero(b))  # faster than masks
+        out[at : at + len(low)], out[ones : ones + len(high)] = low, high
+        at, ones = at + len(low), ones + len(high)
+    return out
+
+
 class WaveletFile:
     """Reads one shard's bytes; only the blocks that a call needs are decompressed."""
 
@@ -199,8 +219,8 @@ class WaveletFile:
 
 # ---------------------------------------------------------------- tokens
 
-#: Words whose ids a worker keeps at once, and words of one call to the tokenizer.
-CACHED_WORDS, CALL_WORDS = 600_000, 500
+#: Words above which a worker forgets those used least, and words of one call to the tokenizer.
+CACHED_WORDS, CALL_WORDS = 200_000, 500
 _ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
 _ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _PUNCT[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True  # all of ASCII but the apostrophe
@@ -256,13 +276,21 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._reset()
-
-    def _reset(self) -> None:
-        """Word 0 is the end of a text."""
-        self.number: dict[bytes, int] = {_END: 0}
+        self.number: dict[bytes, int] = {_END: 0}  # word 0 is the end of a text
         self.flat = np.array([] if self.end is None else [self.end], np.int32)
         self.sizes = np.array([len(self.flat)], np.int32)
+        self.uses = np.zeros(1, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that were used most, half as many as fit, and none that was used once."""
+        keep = np.flatnonzero(self.uses > 1)
+        keep = np.sort(keep[np.argsort(-self.uses[keep], kind="stable")[: CACHED_WORDS // 2]])
+        keep = np.concatenate([[0], keep[keep > 0]])
+        chosen = np.zeros(len(self.sizes), bool)
+        chosen[keep] = True
+        self.number = {w: i for i, w in enumerate(compress(self.number, chosen))}  # numbers are in the order of insertion
+        self.flat = self.flat[np.repeat(chosen, self.sizes)]
+        self.sizes, self.uses = self.sizes[keep], self.uses[keep] // 2
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -292,6 +320,7 @@ class Encoder:
         self.number.update(zip(order + other, range(first, first + len(words))))
         self.flat = np.concatenate([self.flat, *flats])
         self.sizes = np.concatenate([self.sizes, *sizes]).astype(np.int32)
+        self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by the end id, and their numbers by text."""
@@ -300,7 +329,7 @@ class Encoder:
             got = [ids + tail for ids in self._raw([t.decode() for t in texts])]
             return np.array([i for g in got for i in g], np.int32), np.array([len(g) for g in got], np.int64)
         if len(self.number) > CACHED_WORDS:
-            self._reset()
+            self._forget()
         words = _words(texts)
         code = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
         missing = np.flatnonzero(code < 0)
@@ -308,6 +337,7 @@ class Encoder:
             lost = [words[i] for i in missing]
             self._learn(list(dict.fromkeys(lost)))
             code[missing] = [self.number[w] for w in lost]
+        self.uses += np.bincount(code, minlength=len(self.uses))
         size = self.sizes[code]
         last = np.cumsum(size, dtype=np.int32 if len(code) < 1 << 24 else np.int64)
         ids = self.flat[np.repeat((np.cumsum(self.sizes, dtype=last.dtype) - self.sizes)[code] - (last - size), size) + np.arange(last[-1] if len(last) else 0, dtype=last.dtype)]
@@ -327,6 +357,7 @@ def encoder(model: str, end_id: int | None, by_words: bool) -> Encoder:
     key = (xxhash.xxh3_128_digest(model), end_id, by_words)
     if key not in _ENCODERS:
         _ENCODERS.clear()
+        trim()  # what earlier stages left
         _ENCODERS[key] = Encoder(model, end_id, by_words)
     return _ENCODERS[key]
 
@@ -379,11 +410,11 @@ def _shards(model, end_id: int | None, by_words: bool, root: str, most: int):
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).fill_null(b"")
-            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts], np.int64)
+            sizes = np.fromiter((len(x.as_buffer()) if x.is_valid else 0 for x in texts), np.int64, len(texts))
             names = batch.column(0).to_pylist()
             first = 0
             while first < len(texts):  # a block of texts at a time
-                last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), 1 << 21, "right")))
+                last = max(first + 1, first + int(np.searchsorted(np.cumsum(sizes[first:]), BLOCK_BYTES, "right")))
                 got, length = coder.encode(texts.slice(first, last - first).to_pylist())
                 cut, begin = np.concatenate([[0], np.cumsum(length)]), 0
                 while begin < len(length):
