@@ -33,7 +33,7 @@ def test_a_broadcast_is_seen(spark):
     assert _broadcasts(spark, lambda: wide.write.format("noop").mode("overwrite").save()) == [70]
 
 
-@pytest.mark.parametrize("name", ["strip_pair"])
+@pytest.mark.parametrize("name", ["strip_candidates", "strip_pair"])
 def test_no_plane_is_broadcast(name, spark):
     told = _broadcasts(spark, lambda: QUERIES[name](spark, f"{DATA}/sf0.01").write.format("noop").mode("overwrite").save())
     assert [n for n in told if n > FEW] == []
