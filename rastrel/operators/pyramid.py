@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_sort
 from ..scratch import Steps
 from .geometry import block_mean
 
@@ -71,10 +72,10 @@ def levels_to_build(expected: DataFrame, found: DataFrame) -> DataFrame:
 
     The right size alone is no proof: a level of the right size without its mark is rebuilt.
     """
-    rows = expected.join(found.select("image", "level", F.col("h").alias("fh"), F.col("w").alias("fw"), "done"), ["image", "level"], "left")
+    rows = expected.join(by_sort(found.select("image", "level", F.col("h").alias("fh"), F.col("w").alias("fw"), "done")), ["image", "level"], "left")
     fits = F.coalesce((F.col("fh") == F.col("h")) & (F.col("fw") == F.col("w")) & F.col("done"), F.lit(False))
     first = rows.withColumn("fits", fits).groupBy("image").agg(F.min(F.when(~F.col("fits"), F.col("level"))).alias("first"))
-    return rows.select("image", "level").join(first, "image").select("image", "level", F.when(F.col("first").isNull() | (F.col("level") < F.col("first")), "kept").otherwise("rebuilt").alias("state"))
+    return rows.select("image", "level").join(by_sort(first), "image").select("image", "level", F.when(F.col("first").isNull() | (F.col("level") < F.col("first")), "kept").otherwise("rebuilt").alias("state"))
 
 
 def resume_cycles(cycles: DataFrame, how: str = "hybrid", force_from: int | None = None) -> DataFrame:
