@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_sort
 from ..scratch import Steps
 from .islands import numbered
 from .neighbourhood import spread
@@ -38,10 +39,10 @@ def linked(pairs: DataFrame) -> DataFrame:
     both = kept.save(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     state = rounds.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("label"), F.least("a", "b").alias("root")))
     while True:
-        heard = both.join(state.select(F.col("label").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("heard"))
-        met = state.join(heard, F.col("label") == F.col("a")).select("label", F.col("root").alias("was"), F.least("root", "heard").alias("low"))
+        heard = both.join(by_sort(state.select(F.col("label").alias("b"), "root")), "b").groupBy("a").agg(F.min("root").alias("heard"))
+        met = state.join(by_sort(heard), F.col("label") == F.col("a")).select("label", F.col("root").alias("was"), F.least("root", "heard").alias("low"))
         far = state.select(F.col("label").alias("low"), F.col("root").alias("far"))
-        new = rounds.save(met.join(far, "low").select("label", F.least("low", "far").alias("root"), "was"))
+        new = rounds.save(met.join(by_sort(far), "low").select("label", F.least("low", "far").alias("root"), "was"))
         state = new.select("label", "root")
         if new.where("root < was").isEmpty():
             return state
@@ -74,18 +75,18 @@ def components(mask: DataFrame, height: int, width: int, diagonal: bool = False,
     found = Steps(mask.sparkSession, "components", keep_all=True).save(blocks)
     rim = found.where("edge")
     across = rim.select(F.col("label").alias("a"), F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")) for dy, dx in sides])).alias("p")).select("a", "p.*")
-    pairs = across.join(rim.select("y", "x", F.col("label").alias("b")), ["y", "x"]).where("a <> b")
-    return found.join(linked(pairs), "label", "left").select("y", "x", F.coalesce("root", "label").alias("label"))
+    pairs = across.join(by_sort(rim.select("y", "x", F.col("label").alias("b"))), ["y", "x"]).where("a <> b")
+    return found.join(by_sort(linked(pairs)), "label", "left").select("y", "x", F.coalesce("root", "label").alias("label"))
 
 
 def relabel(labels: DataFrame) -> DataFrame:
     """Labels 1..N in the order of the old ones; numbers are given to distinct labels, range by range, not to pixels."""
-    return labels.join(numbered(labels, "label"), "label").drop("label").withColumnRenamed("number", "label")
+    return labels.join(by_sort(numbered(labels, "label")), "label").drop("label").withColumnRenamed("number", "label")
 
 
 def drop_small(labels: DataFrame, least: int) -> DataFrame:
     big = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return labels.join(big.select("label"), "label", "left_semi")
+    return labels.join(by_sort(big.select("label")), "label", "left_semi")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

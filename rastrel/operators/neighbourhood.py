@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_sort
+
 CROSS = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
 
 
@@ -61,7 +63,7 @@ def window_max(px: DataFrame, radius: int, height: int, width: int) -> DataFrame
 
 def local_peaks(px: DataFrame, radius: int, height: int, width: int) -> DataFrame:
     """Pixels that equal the largest of their window."""
-    return px.join(window_max(px, radius, height, width), ["y", "x"]).where(F.col("v") == F.col("vmax")).select("y", "x", "v")
+    return px.join(by_sort(window_max(px, radius, height, width)), ["y", "x"]).where(F.col("v") == F.col("vmax")).select("y", "x", "v")
 
 
 def reflect(c: Column, n: int) -> Column:

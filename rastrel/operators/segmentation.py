@@ -10,10 +10,13 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.groups import map_groups
+from ..functions.joins import by_sort
+from ..scratch import Steps
 from .graph import components, drop_small, relabel
 from .neighbourhood import CROSS, closed, dilate, opened
 
@@ -64,8 +67,8 @@ def flood(elevation: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> np.nd
 def split_touching(masks: DataFrame, width: int, spacing: int = 3) -> DataFrame:
     """``(y, x, label)`` from connected masks ``(y, x, label)``: one object for each peak of the distance."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ys, xs = group["y"].to_numpy(), group["x"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        ys, xs = (table.column(c).to_numpy() for c in ("y", "x"))
         oy, ox = ys.min(), xs.min()
         mask = np.zeros((ys.max() - oy + 1, xs.max() - ox + 1), bool)
         mask[ys - oy, xs - ox] = True
@@ -74,16 +77,17 @@ def split_touching(masks: DataFrame, width: int, spacing: int = 3) -> DataFrame:
         for y, x in peaks(d, mask, spacing):
             seeds[y, x] = (y + oy) * width + x + ox + 1
         found = flood(-d, seeds, mask)
-        return pd.DataFrame({"y": ys, "x": xs, "label": found[ys - oy, xs - ox]})
+        return pa.table({"y": ys, "x": xs, "label": found[ys - oy, xs - ox]})
 
-    return masks.groupBy("label").applyInPandas(run, "y long, x long, label long")
+    return map_groups(masks, "label", run, "y long, x long, label long")
 
 
 def nuclei(prob: DataFrame, height: int, width: int, threshold: float = 0.35, least: int = 30, spacing: int = 3) -> DataFrame:
     """Nuclei from a probability plane ``(y, x, p)``: threshold, open, close, drop small, split, number."""
     mask = closed(opened(prob.where(F.col("p") >= threshold), CROSS, height, width), CROSS, height, width)
     whole = drop_small(components(mask, height, width, diagonal=True), least)
-    return relabel(drop_small(split_touching(whole, width, spacing), max(1, least // 4)))
+    split = Steps(prob.sparkSession, "split").save(split_touching(whole, width, spacing))  # read more than once
+    return relabel(drop_small(split, max(1, least // 4)))
 
 
 def boundary_nuclei(probs: DataFrame, height: int, width: int, threshold: float = 0.35, core: float = 0.45, boundary: float = 0.35, background: float = 0.6, least: int = 30, spacing: int = 4, share: float = 0.7) -> DataFrame:
@@ -100,14 +104,14 @@ def boundary_nuclei(probs: DataFrame, height: int, width: int, threshold: float
     mask = closed(opened(inside, CROSS, height, width), CROSS, height, width)
     whole = drop_small(components(mask, height, width, diagonal=True), least)
     edge = dilate(probs.where(F.col("boundary") >= boundary), near, height, width)
-    inner = whole.join(probs.where(F.col("p") >= core).select("y", "x"), ["y", "x"], "left_semi").join(edge, ["y", "x"], "left_anti")
+    inner = whole.join(by_sort(probs.where(F.col("p") >= core).select("y", "x")), ["y", "x"], "left_semi").join(by_sort(edge), ["y", "x"], "left_anti")
     inner = drop_small(components(inner, height, width), max(5, least // 4)).select("y", "x", F.lit(True).alias("core"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ys, xs = group["y"].to_numpy(), group["x"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        ys, xs, own = (table.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "core"))
         oy, ox = ys.min(), xs.min()
         mask, seeded = np.zeros((2, ys.max() - oy + 1, xs.max() - ox + 1), bool)
-        mask[ys - oy, xs - ox], seeded[ys - oy, xs - ox] = True, group["core"].to_numpy()
+        mask[ys - oy, xs - ox], seeded[ys - oy, xs - ox] = True, own
         seeded = seeded if seeded.any() else mask
         d = distance(seeded)
         d[d < np.quantile(d[seeded], share)] = 0
@@ -115,25 +119,27 @@ def boundary_nuclei(probs: DataFrame, height: int, width: int, threshold: float
         for y, x in peaks(d, seeded, spacing):
             seeds[y, x] = (y + oy) * width + x + ox + 1
         found = flood(-d, seeds, mask)
-        return pd.DataFrame({"y": ys, "x": xs, "label": found[ys - oy, xs - ox]})
+        return pa.table({"y": ys, "x": xs, "label": found[ys - oy, xs - ox]})
 
-    marked = whole.join(inner, ["y", "x"], "left").select("y", "x", "label", F.coalesce("core", F.lit(False)).alias("core"))
-    return relabel(drop_small(marked.groupBy("label").applyInPandas(run, "y long, x long, label long"), least))
+    marked = whole.join(by_sort(inner), ["y", "x"], "left").select("y", "x", "label", F.coalesce("core", F.lit(False)).alias("core"))
+    split = Steps(probs.sparkSession, "split").save(map_groups(marked, "label", run, "y long, x long, label long"))  # read more than once
+    return relabel(drop_small(split, least))
 
 
 def grow_cells(nuclei_: DataFrame, cyto: DataFrame, height: int, width: int, threshold: float = 0.35, reach: int = 80, least: int = 1) -> DataFrame:
     """Cells from nuclei: labels flood the cytoplasm ``(y, x, p)`` from high to low probability, up to ``reach`` pixels away."""
-    field = cyto.where(F.col("p") >= threshold).select("y", "x", "p").join(nuclei_, ["y", "x"], "full").select("y", "x", F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("label", F.lit(0)).cast("long").alias("seed"))
+    field = cyto.where(F.col("p") >= threshold).select("y", "x", "p").join(by_sort(nuclei_), ["y", "x"], "full").select("y", "x", F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("label", F.lit(0)).cast("long").alias("seed"))
     masks = components(field.select("y", "x"), height, width)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ys, xs = group["y"].to_numpy(), group["x"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        ys, xs, seed, own = (table.column(c).to_numpy() for c in ("y", "x", "seed", "p"))
         oy, ox = ys.min(), xs.min()
         shape = (ys.max() - oy + 1, xs.max() - ox + 1)
         mask, seeds, p = np.zeros(shape, bool), np.zeros(shape, np.int64), np.zeros(shape)
-        mask[ys - oy, xs - ox], seeds[ys - oy, xs - ox], p[ys - oy, xs - ox] = True, group["seed"], group["p"]
+        mask[ys - oy, xs - ox], seeds[ys - oy, xs - ox], p[ys - oy, xs - ox] = True, seed, own
         out = np.where(distance(seeds == 0) <= reach, flood(-p, seeds, mask), 0)
-        return pd.DataFrame({"y": ys, "x": xs, "label": out[ys - oy, xs - ox]}).query("label > 0")
+        label = out[ys - oy, xs - ox]
+        return pa.table({"y": ys, "x": xs, "label": label}).filter(pa.array(label > 0))
 
-    grown = field.join(masks, ["y", "x"]).groupBy("label").applyInPandas(run, "y long, x long, label long")
+    grown = Steps(cyto.sparkSession, "grown").save(map_groups(field.join(by_sort(masks), ["y", "x"]), "label", run, "y long, x long, label long"))  # read more than once
     return drop_small(grown, least)

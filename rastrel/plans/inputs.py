@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_sort
+
 #: Size of the derived planes.
 H, W = 48, 64
 
@@ -55,7 +57,7 @@ def discs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disc_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The discs on their background of 120."""
     grid = spark.range(disc_height(spark, sf_dir)).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(W - 1).cast("long"))).alias("x"))
-    return grid.join(discs(spark, sf_dir), ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(120)).cast("long").alias("v"))
+    return grid.join(by_sort(discs(spark, sf_dir)), ["y", "x"], "left").select("y", "x", F.coalesce("v", F.lit(120)).cast("long").alias("v"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
