@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_sort
 from ..functions.scalars import symmetric_eigenvalues
 from .neighbourhood import gaussian, gaussian_derivatives, structure_tensor
 
@@ -16,7 +17,7 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
     """Rows with the weight n / (classes * rows of the class)."""
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    return rows.join(counts, label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
+    return rows.join(F.broadcast(counts), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
 
 def train_forest(rows: DataFrame, features: str, label: str, trees: int = 200, seed: int = 0, depth: int = 8):
@@ -47,11 +48,11 @@ def feature_stack(px: DataFrame, sigmas: list[float], height: int, width: int) -
         wide = gaussian(px, s * 1.6, height, width).withColumnRenamed("v", "_wide")
         s1, s2 = symmetric_eigenvalues(F.col("ayy"), F.col("ayx"), F.col("axx"))
         h1, h2 = symmetric_eigenvalues(F.col("hyy"), F.col("hyx"), F.col("hxx"))
-        maps = fine.join(wide, ["y", "x"]).join(structure_tensor(px, s, height, width), ["y", "x"]).select(
+        maps = fine.join(by_sort(wide), ["y", "x"]).join(by_sort(structure_tensor(px, s, height, width)), ["y", "x"]).select(
             "y", "x", F.col("v").alias(f"g{k}"), F.hypot("gy", "gx").alias(f"grad{k}"), (F.col("hyy") + F.col("hxx")).alias(f"log{k}"), (F.col("v") - F.col("_wide")).alias(f"dog{k}"),
             s1.alias(f"st_big{k}"), s2.alias(f"st_small{k}"), h1.alias(f"he_big{k}"), h2.alias(f"he_small{k}"),
         )
-        out = out.join(maps, ["y", "x"])
+        out = out.join(by_sort(maps), ["y", "x"])
     return out
 
 
@@ -59,5 +60,5 @@ def classify_pixels(features: DataFrame, scribbles: DataFrame, classes: int = 3,
     """Probabilities of every pixel from a forest fitted on the scribbled ones."""
     names = [c for c in features.columns if c not in ("y", "x")]
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(features)
-    marked = rows.join(scribbles, ["y", "x"]).select("features", (F.col("class") - 1).cast("int").alias("label"))
+    marked = rows.join(by_sort(scribbles), ["y", "x"]).select("features", (F.col("class") - 1).cast("int").alias("label"))
     return predict(train_forest(marked, "features", "label", trees), rows, ["y", "x"], classes)
