@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.groups import map_groups
+from ..functions.joins import by_sort
 from ..scratch import Steps
 from . import nearest as NE
 from . import neighbourhood as N
@@ -23,8 +25,8 @@ def depths(region: DataFrame, height: int, width: int) -> DataFrame:
 
     The nearest one outside always touches the region, so only those are sources.
     """
-    rim = N.dilate(region, N.CROSS, height, width).join(region.select("y", "x"), ["y", "x"], "left_anti")
-    return region.select("y", "x").join(NE.nearest_source(rim, height, width).select("y", "x", "d2"), ["y", "x"], "left").select("y", "x", F.coalesce("d2", F.lit(0)).alias("d2"))
+    rim = N.dilate(region, N.CROSS, height, width).join(by_sort(region.select("y", "x")), ["y", "x"], "left_anti")
+    return region.select("y", "x").join(by_sort(NE.nearest_source(rim, height, width).select("y", "x", "d2")), ["y", "x"], "left").select("y", "x", F.coalesce("d2", F.lit(0)).alias("d2"))
 
 
 def upper(depth: DataFrame, share: float) -> DataFrame:
@@ -69,9 +71,9 @@ def flooded(mask: DataFrame, core: DataFrame, chosen: DataFrame, width: int) ->
         return pa.table({"y": y, "x": x, "label": out}).filter(pa.array(out > 0))
 
     place = (F.col("y") * width + F.col("x") + 1).alias("seed")
-    rows = mask.join(core.select("y", "x", F.sqrt("d2").alias("depth")), ["y", "x"], "left").join(chosen.select("y", "x", place), ["y", "x"], "left")
+    rows = mask.join(by_sort(core.select("y", "x", F.sqrt("d2").alias("depth"))), ["y", "x"], "left").join(by_sort(chosen.select("y", "x", place)), ["y", "x"], "left")
     rows = rows.select("y", "x", "label", F.coalesce("depth", F.lit(0.0)).alias("depth"), F.coalesce("seed", F.lit(0)).cast("long").alias("seed"))
-    return rows.groupBy("label").applyInArrow(run, "y long, x long, label long")
+    return map_groups(rows, "label", run, "y long, x long, label long")
 
 
 def nucleus_markers(prob: DataFrame, height: int, width: int, threshold: float = 0.35, least: int = 30, spacing: int = 4, window: int = 7, sigma: float = 1.0, share: float = 0.7) -> DataFrame:
@@ -84,7 +86,7 @@ def nucleus_markers(prob: DataFrame, height: int, width: int, threshold: float =
     steps = Steps(prob.sparkSession, "nuclei", keep_all=True)  # what later steps read more than once
     mask = steps.save(nucleus_mask(smoothed(prob, "p", sigma, height, width), height, width, threshold, least))
     core = steps.save(upper(depths(mask, height, width), share))
-    return relabel(drop_small(flooded(mask, core, seeds(core, height, width, window, spacing), width), least))
+    return relabel(drop_small(steps.save(flooded(mask, core, steps.save(seeds(core, height, width, window, spacing)), width)), least))
 
 
 def boundary_markers(probs: DataFrame, height: int, width: int, threshold: float = 0.35, core: float = 0.45, boundary: float = 0.35, reach: int = 2, least: int = 30, spacing: int = 4, window: int = 7, sigma: float = 1.0, share: float = 0.7) -> DataFrame:
@@ -97,10 +99,10 @@ def boundary_markers(probs: DataFrame, height: int, width: int, threshold: float
     p = steps.save(smoothed(probs, "p", sigma, height, width))
     mask = steps.save(nucleus_mask(p, height, width, threshold, least))
     rim = N.dilate(smoothed(probs, "boundary", sigma, height, width).where(F.col("v") >= boundary), N.disk(reach), height, width)
-    inner = mask.join(p.where(F.col("v") >= core).select("y", "x"), ["y", "x"], "left_semi").join(rim, ["y", "x"], "left_anti")
+    inner = mask.join(by_sort(p.where(F.col("v") >= core).select("y", "x")), ["y", "x"], "left_semi").join(by_sort(rim), ["y", "x"], "left_anti")
     inner = steps.save(drop_small(components(inner, height, width), max(5, least // 4)))
     deep = steps.save(upper(depths(mask if inner.isEmpty() else inner, height, width), share))
-    return relabel(drop_small(flooded(mask, deep, seeds(deep, height, width, window, spacing), width), least))
+    return relabel(drop_small(steps.save(flooded(mask, deep, steps.save(seeds(deep, height, width, window, spacing)), width)), least))
 
 
 def cells(nuclei: DataFrame, probs: DataFrame, height: int, width: int, threshold: float = 0.35, background: float | None = 0.5, weight: float = 0.5, reach: int | None = 80, least: int = 200) -> DataFrame:
@@ -112,14 +114,15 @@ def cells(nuclei: DataFrame, probs: DataFrame, height: int, width: int, threshol
     such column; ``reach`` None: any distance.  Cells below ``least`` go.
     """
     q = F.coalesce("background", F.lit(0.0)) if background is not None else F.lit(0.0)
-    field = probs.select("y", "x", F.col("p").cast("double").alias("p"), q.alias("q")).join(nuclei.select("y", "x", F.col("label").alias("seed")), ["y", "x"], "left")
+    field = probs.select("y", "x", F.col("p").cast("double").alias("p"), q.alias("q")).join(by_sort(nuclei.select("y", "x", F.col("label").alias("seed"))), ["y", "x"], "left")
     allowed = field.where((F.col("p") >= threshold) | F.col("seed").isNotNull())
     if background is not None:
         allowed = allowed.where(F.col("q") < background)
     if reach is not None:
         near = NE.nearest_source(nuclei, height, width).where(F.col("d2") <= reach * reach).select("y", "x")
-        allowed = allowed.join(near, ["y", "x"], "left_semi")
-    allowed = Steps(probs.sparkSession, "cells", keep_all=True).save(allowed)
+        allowed = allowed.join(by_sort(near), ["y", "x"], "left_semi")
+    steps = Steps(probs.sparkSession, "cells", keep_all=True)  # what later steps read more than once
+    allowed = steps.save(allowed)
     masks = components(allowed, height, width)
 
     def run(table: pa.Table) -> pa.Table:
@@ -131,5 +134,5 @@ def cells(nuclei: DataFrame, probs: DataFrame, height: int, width: int, threshol
         out = flood(low, start, inside)[y - oy, x - ox]
         return pa.table({"y": y, "x": x, "label": out}).filter(pa.array(out > 0))
 
-    rows = allowed.join(masks, ["y", "x"]).select("y", "x", "label", F.coalesce("seed", F.lit(0)).cast("long").alias("seed"), (weight * F.col("q") - F.col("p")).alias("elevation"))
-    return relabel(drop_small(rows.groupBy("label").applyInArrow(run, "y long, x long, label long"), least))
+    rows = allowed.join(by_sort(masks), ["y", "x"]).select("y", "x", "label", F.coalesce("seed", F.lit(0)).cast("long").alias("seed"), (weight * F.col("q") - F.col("p")).alias("elevation"))
+    return relabel(drop_small(steps.save(map_groups(rows, "label", run, "y long, x long, label long")), least))

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.groups import map_groups
+from ..functions.joins import by_sort
 from ..scratch import Steps
 
 
@@ -48,7 +50,7 @@ def nearest_source(sources: DataFrame, height: int, width: int) -> DataFrame:
 
     places = sources.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x")).where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     columns = places.groupBy("x").applyInArrow(column, "y long, x long, sy long")
-    return columns.groupBy("y").applyInArrow(row, "y long, x long, d2 long, sy long, sx long")
+    return map_groups(columns, "y", row, "y long, x long, d2 long, sy long, sx long")
 
 
 def dense_field(regions: DataFrame, shifts: DataFrame, height: int, width: int) -> DataFrame:
@@ -78,11 +80,11 @@ def spaced_peaks(peaks: DataFrame, spacing: int) -> DataFrame:
     def met(these: DataFrame, others: DataFrame) -> DataFrame:
         own = these.withColumn("c", around).select("y", "x", "v", "c.*")
         other = others.select(F.expr(f"floor(y / {cell})").alias("cy"), F.expr(f"floor(x / {cell})").alias("cx"), F.col("y").alias("oy"), F.col("x").alias("ox"), F.col("v").alias("ov"))
-        return own.join(other, ["cy", "cx"]).where(near)
+        return own.join(by_sort(other), ["cy", "cx"]).where(near)
 
     while not open_.isEmpty():
         lead = met(open_, open_).groupBy("y", "x", "v").agg(F.max(rank("o")).alias("top")).where(F.col("top") == rank()).select("y", "x", "v")
         lead = steps.save(lead)
         kept = lead if kept is None else kept.unionByName(lead)
-        open_ = steps.save(open_.join(met(open_, lead).select("y", "x").distinct(), ["y", "x"], "left_anti").select("y", "x", "v"))
+        open_ = steps.save(open_.join(by_sort(met(open_, lead).select("y", "x").distinct()), ["y", "x"], "left_anti").select("y", "x", "v"))
     return open_ if kept is None else kept
