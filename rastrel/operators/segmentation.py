@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.groups import map_groups
 from ..functions.joins import by_sort
 from ..scratch import Steps
+from . import nearest as NE
 from .graph import components, drop_small, relabel
 from .neighbourhood import CROSS, closed, dilate, opened
 
@@ -127,8 +128,14 @@ def boundary_nuclei(probs: DataFrame, height: int, width: int, threshold: float
 
 
 def grow_cells(nuclei_: DataFrame, cyto: DataFrame, height: int, width: int, threshold: float = 0.35, reach: int = 80, least: int = 1) -> DataFrame:
-    """Cells from nuclei: labels flood the cytoplasm ``(y, x, p)`` from high to low probability, up to ``reach`` pixels away."""
+    """Cells from nuclei: labels flood the cytoplasm ``(y, x, p)`` from high to low probability, up to ``reach`` pixels away.
+
+    What is further from every nucleus is left out before the flood, so that a
+    group is one connected mask of pixels near nuclei, not the whole cytoplasm.
+    """
     field = cyto.where(F.col("p") >= threshold).select("y", "x", "p").join(by_sort(nuclei_), ["y", "x"], "full").select("y", "x", F.coalesce("p", F.lit(1.0)).alias("p"), F.coalesce("label", F.lit(0)).cast("long").alias("seed"))
+    near = NE.nearest_source(nuclei_, height, width).where(F.col("d2") <= reach * reach).select("y", "x")
+    field = Steps(cyto.sparkSession, "near").save(field.join(by_sort(near), ["y", "x"], "left_semi"))  # read more than once
     masks = components(field.select("y", "x"), height, width)
 
     def run(table: pa.Table) -> pa.Table:
@@ -137,8 +144,7 @@ def grow_cells(nuclei_: DataFrame, cyto: DataFrame, height: int, width: int, thr
         shape = (ys.max() - oy + 1, xs.max() - ox + 1)
         mask, seeds, p = np.zeros(shape, bool), np.zeros(shape, np.int64), np.zeros(shape)
         mask[ys - oy, xs - ox], seeds[ys - oy, xs - ox], p[ys - oy, xs - ox] = True, seed, own
-        out = np.where(distance(seeds == 0) <= reach, flood(-p, seeds, mask), 0)
-        label = out[ys - oy, xs - ox]
+        label = flood(-p, seeds, mask)[ys - oy, xs - ox]
         return pa.table({"y": ys, "x": xs, "label": label}).filter(pa.array(label > 0))
 
     grown = Steps(cyto.sparkSession, "grown").save(map_groups(field.join(by_sort(masks), ["y", "x"]), "label", run, "y long, x long, label long"))  # read more than once
