@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.joins import by_sort
 from ..operators import aggregates as A
 from ..operators import edits as E
 from ..operators import geometry as G
@@ -856,7 +857,7 @@ def boundary_instances(spark, d):
     """The same discs by their core, away from a boundary plane along their rims."""
     height = I.disc_height(spark, d)
     rim = N.inner_boundary(I.discs(spark, d).select("y", "x", "label"), height, W).select("y", "x", F.lit(0.8).alias("boundary"))
-    probs = I.disc_plane(spark, d).join(rim, ["y", "x"], "left").select("y", "x", F.when(F.col("v") > 1000, F.lit(0.9)).otherwise(F.lit(0.1)).alias("p"), F.coalesce("boundary", F.lit(0.0)).alias("boundary"), F.lit(0.0).alias("background"))
+    probs = I.disc_plane(spark, d).join(by_sort(rim), ["y", "x"], "left").select("y", "x", F.when(F.col("v") > 1000, F.lit(0.9)).otherwise(F.lit(0.1)).alias("p"), F.coalesce("boundary", F.lit(0.0)).alias("boundary"), F.lit(0.0).alias("background"))
     found = SEG.boundary_nuclei(probs, height, W, least=12)
     order = found.groupBy("label").agg(F.count("*").alias("area"), F.min(F.expr("y div 12 * 64 + x")).alias("at"))
     from pyspark.sql import Window
