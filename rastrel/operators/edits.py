@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_sort
 from .graph import components
 from .islands import numbered
 from .neighbourhood import CROSS, erode
@@ -12,7 +13,7 @@ from .neighbourhood import CROSS, erode
 
 def difference(base: DataFrame, edited: DataFrame) -> DataFrame:
     """Pixels whose label changed, 0 standing for none."""
-    both = base.withColumnRenamed("label", "old").join(edited.withColumnRenamed("label", "new"), ["y", "x"], "full")
+    both = base.withColumnRenamed("label", "old").join(by_sort(edited.withColumnRenamed("label", "new")), ["y", "x"], "full")
     both = both.select("y", "x", F.coalesce("old", F.lit(0)).cast("long").alias("old"), F.coalesce("new", F.lit(0)).cast("long").alias("new"))
     return both.where("old <> new")
 

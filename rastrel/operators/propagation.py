@@ -16,6 +16,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_sort
+from ..scratch import Steps
 from ..sources.cycles import load_manifest, save_manifest
 from ..sources.features import MAPS, FeatureStore, Recipe
 from .edits import difference
@@ -43,10 +45,10 @@ def edit_classes(base: DataFrame, edited: DataFrame, height: int, width: int, re
     """``(y, x, class)`` of all pixels near an edit, as the edited labels ``(y, x, label)`` have them; a boundary comes before its nucleus. Equal labels give no row."""
     near = within(difference(base, edited), reach, height, width)
     # What decides the boundary of a pixel within reach lies within reach + 1.
-    around = edited.join(within(difference(base, edited), reach + 1, height, width), ["y", "x"], "left_semi").where("label > 0")
+    around = edited.join(by_sort(within(difference(base, edited), reach + 1, height, width)), ["y", "x"], "left_semi").where("label > 0")
     edge = inner_boundary(around, height, width).select("y", "x", F.lit(2).alias("edge"))
     own = around.select("y", "x", F.lit(1).alias("own"))
-    return near.join(own, ["y", "x"], "left").join(edge, ["y", "x"], "left").select("y", "x", F.coalesce("edge", "own", F.lit(3)).alias("class"))
+    return near.join(by_sort(own), ["y", "x"], "left").join(by_sort(edge), ["y", "x"], "left").select("y", "x", F.coalesce("edge", "own", F.lit(3)).alias("class"))
 
 
 def training_pixels(classes: DataFrame, budget: int = 200_000) -> DataFrame:
@@ -89,19 +91,20 @@ class Propagated:
 
 def fit_edits(vectors: DataFrame, base: DataFrame, edited: DataFrame, height: int, width: int, reach: int = 16, budget: int = 200_000, trees: int = 200, seed: int = 0) -> Propagated:
     """A forest of ``vectors`` ``(y, x, features)`` at the training pixels of an edit; labels that do not differ are an error."""
-    sample = training_pixels(edit_classes(base, edited, height, width, reach), budget)
+    steps = Steps(vectors.sparkSession, "edits", keep_all=True)  # what is read more than once, ``budget`` rows
+    sample = steps.save(training_pixels(edit_classes(base, edited, height, width, reach), budget))
     counts = {r["class"]: r["n"] for r in sample.groupBy("class").agg(F.count("*").alias("n")).collect()}  # three rows
     if not counts:
         raise ValueError("no label was edited")
-    rows = vectors.join(sample, ["y", "x"]).select("features", (F.col("class") - 1).cast("int").alias("label"))
-    model = train_forest(rows, "features", "label", trees, seed)
+    rows = vectors.join(F.broadcast(sample), ["y", "x"]).select("features", (F.col("class") - 1).cast("int").alias("label"))
+    model = train_forest(steps.save(rows), "features", "label", trees, seed)
     return Propagated(model, sample, {"kind": "edits", "reach": reach, "budget": budget, "trees": trees, "seed": seed, "pixels": {str(k): counts[k] for k in sorted(counts)}})
 
 
 def held_out_score(told: Propagated, vectors: DataFrame, classes: DataFrame) -> DataFrame:
     """``(class, n, right)`` of pixels near the edit that the forest was not fitted on."""
     rest = classes.join(told.sample.select("y", "x"), ["y", "x"], "left_anti")
-    p = predict(told.model, vectors.join(rest, ["y", "x"]), ["class"], CLASSES)
+    p = predict(told.model, vectors.join(by_sort(rest), ["y", "x"]), ["class"], CLASSES)
     best = F.greatest("p0", "p1", "p2")
     guess = F.when(F.col("p0") == best, 1).when(F.col("p1") == best, 2).otherwise(3)
     return p.groupBy("class").agg(F.count("*").alias("n"), F.count(F.when(guess == F.col("class"), 1)).alias("right"))
