@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import by_sort
 from ..operators import markers as MK
 from ..operators.neighbourhood import gaussian_kernel
 from . import inputs as I
@@ -21,7 +22,7 @@ def _twins(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     gap = F.col("y") - F.col("cy")
     inside = rows.where(gap * gap + F.pow(F.col("x") - F.col("cx"), 2) <= F.col("r") * F.col("r")).unionByName(rows.where(gap * gap + F.pow(F.col("x") - F.col("cx") - F.col("r") - 2, 2) <= F.col("r") * F.col("r")))
     grid = spark.range(height).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(W - 1).cast("long"))).alias("x"))
-    return grid.join(inside.select("y", "x", F.lit(0.9).alias("p")).distinct(), ["y", "x"], "left").select("y", "x", F.coalesce("p", F.lit(0.1)).alias("p")), height
+    return grid.join(by_sort(inside.select("y", "x", F.lit(0.9).alias("p")).distinct()), ["y", "x"], "left").select("y", "x", F.coalesce("p", F.lit(0.1)).alias("p")), height
 
 
 def _smooth_sql() -> str:
