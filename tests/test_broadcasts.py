@@ -35,7 +35,7 @@ def test_a_broadcast_is_seen(spark):
     assert _broadcasts(spark, lambda: wide.write.format("noop").mode("overwrite").save()) == [70]
 
 
-@pytest.mark.parametrize("name", ["boundary_instances", "cells_from_nuclei", "cells_kept_apart", "edit_propagation", "levels_to_build", "nuclei_instances", "nucleus_seeds", "pixel_classes", "strip_candidates", "strip_estimates", "strip_pair"])
+@pytest.mark.parametrize("name", ["boundary_instances", "cells_from_nuclei", "cells_kept_apart", "edit_propagation", "levels_to_build", "nuclei_instances", "nuclei_touching", "nucleus_seeds", "pixel_classes", "strip_candidates", "strip_estimates", "strip_pair"])
 def test_no_plane_is_broadcast(name, spark):
     told = _broadcasts(spark, lambda: QUERIES[name](spark, f"{DATA}/sf0.01").write.format("noop").mode("overwrite").save())
     assert [n for n in told if n > BOUNDED.get(name, FEW)] == []
